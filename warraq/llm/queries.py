@@ -6,11 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lengths, packing, pieces, quality
-from .common import table
+from . import chat, lengths, packing, pieces, quality, sql, warc
+from .common import scratch_path, table
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
+BYTES = "byte_bpe_50k.json"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.format_conversations(turns, public_tokenizers.path(BYTES))).drop("n_tokens", "n_loss_tokens")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(F.col(c), r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
+    return warc.read(spark, path).where("kind = 'record'").select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +53,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)))
 
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_packing, op6_quality_rules, op10_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_warc, op4_sentencepiece, op5_packing, op6_quality_rules, op10_token_counts)}
+SQL: dict[str, str] = {"op1_chat_formatting": sql.OP1, "op3_warc": sql.OP3}
