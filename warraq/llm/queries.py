@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lengths, packing, pieces, quality, sql, warc
-from .common import scratch_path, table
+from . import chat, langid, lengths, packing, pieces, quality, sql, warc
+from .common import held_out, scratch_path, table
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
@@ -49,9 +49,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.judged(F.col("text"), public_tokenizers.path(PIECES)).alias("q")).select("doc_id", "q.*")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.samples(docs)
+    return docs.select("doc_id", held_out().alias("held_out"), langid.identified(docs, F.col("text"), learned).alias("g")).select("doc_id", "held_out", "g.*")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_warc, op4_sentencepiece, op5_packing, op6_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_warc, op4_sentencepiece, op5_packing, op6_quality_rules, op9_language_id, op10_token_counts)}
 SQL: dict[str, str] = {"op1_chat_formatting": sql.OP1, "op3_warc": sql.OP3}
