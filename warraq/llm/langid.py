@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -121,15 +123,15 @@ class Model:
         return out, size
 
 
-_models: dict[int, Model] = {}
+_models: dict[str, Model] = {}
 
 
-def _model(shared) -> Model:
+def _model(name: str, shared) -> Model:
     """One model a worker: the newest."""
-    if id(shared) not in _models:
+    if name not in _models:
         _models.clear()
-        _models[id(shared)] = Model(shared.value)
-    return _models[id(shared)]
+        _models[name] = Model(shared.value)
+    return _models[name]
 
 
 def samples(docs: DataFrame) -> dict[str, str]:
@@ -166,12 +168,12 @@ def identified(docs: DataFrame, text: Column, learned: dict[str, str]) -> Column
     whole text / 8), a number from 0 to 1.
     """
     kind = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
-    shared = docs.sparkSession.sparkContext.broadcast(learned)
+    shared, name = docs.sparkSession.sparkContext.broadcast(learned), uuid.uuid4().hex
 
     @F.arrow_udf("lang_pred string, score double")
     def identify(texts: pa.Array) -> pa.Array:
         names, scores = [], []
-        model = _model(shared) if shared.value else None
+        model = _model(name, shared) if shared.value else None
         for at in range(0, len(texts), 1024):
             for lot in _by_size(texts[at : at + 1024].to_pylist()):
                 if model is None:

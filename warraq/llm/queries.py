@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lengths, packing, pieces, quality, sql, warc
+from . import chat, langid, lengths, neardup, packing, pieces, quality, sql, toxicity, warc
 from .common import held_out, scratch_path, table
 
 PIECES = "piece_bpe_32k.model"
@@ -21,6 +21,17 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns, public_tokenizers.path(BYTES))).drop("n_tokens", "n_loss_tokens")
 
 
+#: Scores from here on are taken for label 1.
+TOXIC_FROM = 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    got = docs.select("doc_id", held_out().alias("held_out"), toxicity.scored(docs, F.col("text"), learned).alias("t"))
+    return got.select("doc_id", "held_out", "t.score", (F.col("t.score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -49,6 +60,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.judged(F.col("text"), public_tokenizers.path(PIECES)).alias("q")).select("doc_id", "q.*")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = langid.samples(docs)
@@ -59,5 +74,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_warc, op4_sentencepiece, op5_packing, op6_quality_rules, op9_language_id, op10_token_counts)}
-SQL: dict[str, str] = {"op1_chat_formatting": sql.OP1, "op3_warc": sql.OP3}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_warc, op4_sentencepiece, op5_packing, op6_quality_rules, op8_embedding_near_dedup, op9_language_id, op10_token_counts)}
+SQL: dict[str, str] = {"op1_chat_formatting": sql.OP1, "op3_warc": sql.OP3, "op8_embedding_near_dedup": sql.OP8}

@@ -30,3 +30,18 @@ select page_id, payload_bytes, {_BASE32.format(h="h")} as payload_digest,
   case when page_id is distinct from response then response end as refers_to
 from g
 """
+
+OP8 = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) as (
+  select vec_id, vec_id from v union select r.a, l.b from reach r join link l on r.b = l.a
+), least as (select a, min(b) as component_id from reach group by a), degree as (select a, count(*) as n from link group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join least on least.a = vec_id left join degree on degree.a = vec_id
+"""
