@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lengths, neardup, packing, pieces, quality, sql, toxicity, warc
+from . import chat, jaccard, langid, lengths, neardup, packing, pieces, quality, sql, toxicity, warc
 from .common import held_out, scratch_path, table
 
 PIECES = "piece_bpe_32k.model"
@@ -60,6 +60,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.judged(F.col("text"), public_tokenizers.path(PIECES)).alias("q")).select("doc_id", "q.*")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 75, 5)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
@@ -74,5 +78,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_warc, op4_sentencepiece, op5_packing, op6_quality_rules, op8_embedding_near_dedup, op9_language_id, op10_token_counts)}
-SQL: dict[str, str] = {"op1_chat_formatting": sql.OP1, "op3_warc": sql.OP3, "op8_embedding_near_dedup": sql.OP8}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_warc, op4_sentencepiece, op5_packing, op6_quality_rules, op7_ngram_jaccard, op8_embedding_near_dedup, op9_language_id, op10_token_counts)}
+SQL: dict[str, str] = {"op1_chat_formatting": sql.OP1, "op3_warc": sql.OP3, "op7_ngram_jaccard": sql.OP7, "op8_embedding_near_dedup": sql.OP8}

@@ -45,3 +45,19 @@ with recursive v as (
 select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
 from embeddings left join least on least.a = vec_id left join degree on degree.a = vec_id
 """
+
+OP7 = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
+), s as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [list_aggregate(words, 'string_agg', ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] || ' ' || words[i + 4])) end as shingles from w
+), e as (select doc_id, len(shingles) as n, hash(unnest(shingles)) as h from s
+), pair as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.h = b.h and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 175 * count(*) >= 75 * (a.n + b.n)
+), link as (select a, b from pair union all select b, a from pair
+), reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join link l on r.b = l.a
+), least as (select a, min(b) as component_id from reach group by a)
+select doc_id, len(shingles)::bigint as n_shingles, component_id from s join least on least.a = doc_id
+"""
