@@ -25,8 +25,8 @@ from .shingles import fingerprint, shingle_sets
 
 #: Characters of texts that are cut into shingles at once; it bounds memory only.
 TOGETHER_CHARS = 2_000_000
-#: Bits of a shingle that pick its counter, and slices in which the counters travel.
-SKETCH_BITS, SLICES = 24, 64
+#: Bits of a shingle that pick its counter, bits of a document's mark, and slices in which both travel. They fix the size of what is broadcast: 8 MB and 2 MB.
+SKETCH_BITS, MARK_BITS, SLICES = 23, 24, 64
 #: Lists up to this length give all their candidates at once; longer ones go by leaders.
 SHORT = 6
 
@@ -118,12 +118,13 @@ def _count(counters: np.ndarray, sets: list[np.ndarray]) -> None:
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """The counters of a slice over all tasks, never over 65,535."""
+    """The counters of a slice over all tasks in a byte each: exact below 128, then twelve steps for each doubling."""
     size = (1 << SKETCH_BITS) // SLICES
     total = np.zeros(size, np.uint32)
     for x in table.column("counts"):
         total += np.frombuffer(pa.decompress(x.as_buffer(), size, codec="zstd"), np.uint8)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([np.minimum(total, 65_535).astype(np.uint16).tobytes()], pa.binary())})
+    coded = np.where(total < 128, total, np.minimum(255, 128 + 12 * np.log2(np.maximum(128, total) / 128))).astype(np.uint8)
+    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([coded.tobytes()], pa.binary())})
 
 
 PREFIX = {"doc_id": pa.int64(), "n": pa.int64(), "prefix": pa.binary()}
@@ -132,7 +133,7 @@ PREFIX = {"doc_id": pa.int64(), "n": pa.int64(), "prefix": pa.binary()}
 def _prefixes(width: int, rule: Rule, sketch):
     def run(batches):
         """The first shingles of each set in the global order: rare before common, then by number."""
-        counters = np.frombuffer(sketch.value, np.uint16)
+        counters = np.frombuffer(sketch.value, np.uint8)
         for b in batches:
             ids, out = b.column("doc_id").to_pylist(), ([], [], [])
             for k, s in _sets(b, width):
@@ -327,7 +328,7 @@ def _marks(bits: int):
 
 
 def _either(table: pa.Table) -> pa.Table:
-    size = (1 << SKETCH_BITS) // 8 // SLICES
+    size = (1 << MARK_BITS) // 8 // SLICES
     total = np.zeros(size, np.uint8)
     for x in table.column("data"):
         total |= np.frombuffer(pa.decompress(x.as_buffer(), size, codec="zstd"), np.uint8)
@@ -351,7 +352,7 @@ def _sets_of(width: int, marks):
             ids = b.column("doc_id")
             keep = np.zeros(b.num_rows, bool)
             known = np.flatnonzero(~np.array(ids.is_null()))
-            keep[known] = seen[_bits(ids.take(pa.array(known)).to_numpy(), SKETCH_BITS)]
+            keep[known] = seen[_bits(ids.take(pa.array(known)).to_numpy(), MARK_BITS)]
             ids, out = ids.to_pylist(), ([], [])
             for k, s in _sets(b, width, keep):
                 out[0].append(ids[k])
@@ -383,14 +384,17 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFra
     """The overlap of each pair (a, b, na, nb). Only sets of documents in a pair are built and move."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    marked = ids.mapInArrow(_marks(SKETCH_BITS), "slice int, data binary").groupBy("slice").applyInArrow(_either, "slice int, data binary")
+    marked = ids.mapInArrow(_marks(MARK_BITS), "slice int, data binary").groupBy("slice").applyInArrow(_either, "slice int, data binary")
     marks = _joined(marked, "data")
     if not marks:
         return spark.createDataFrame([], _schema(VERIFIED))
-    sets = docs.mapInArrow(_sets_of(width, spark.sparkContext.broadcast(marks)), _schema(SET)).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    shared = spark.sparkContext.broadcast(marks)
+    sets = docs.mapInArrow(_sets_of(width, shared), _schema(SET)).join(ids, "id", "left_semi").dropDuplicates(["id"])
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return written(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, _schema(VERIFIED)), name)
+    found = written(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, _schema(VERIFIED)), name)
+    shared.destroy()
+    return found
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -417,6 +421,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5) ->
         buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         packed = prefixes.mapInArrow(_postings(buckets), _schema(BUCKET))
         found = written(packed.groupBy("bucket").applyInArrow(_candidates(rule), _schema(FOUND)), "candidates")
+        shared.destroy()
         links = _links(docs, found, width, rule)
     joined = components(links.select("a", "b")) if links is not None else None
     copies = reps.where("n > 1").select(*key, "rep")
