@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .pieces import TOGETHER, piece_encoder
 
 #: Lengths that share a block of the suffix sums.
@@ -40,8 +41,10 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
 
     The rows are distinct lengths, so at most as many as the longest document
     has tokens. Sums run within blocks of lengths; the totals of the blocks,
-    one row for ``BLOCK`` lengths, are summed in a second step.
+    one row for ``BLOCK`` lengths, are summed in a second step. The histogram
+    is written first, as both steps read it.
     """
+    lengths = written(lengths, "histogram")
     of = lengths.withColumn("block", (F.col("n_tokens") / BLOCK).cast("long")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     inner = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
