@@ -24,7 +24,7 @@ from .common import components, written
 from .shingles import fingerprint, shingle_sets
 
 #: Characters of texts that are cut into shingles at once; it bounds memory only.
-TOGETHER_CHARS = 2_000_000
+TOGETHER_CHARS = 1_000_000
 #: Bits of a shingle that pick its counter, bits of a document's mark, and slices in which both travel. They fix the size of what is broadcast: 8 MB and 2 MB.
 SKETCH_BITS, MARK_BITS, SLICES = 23, 24, 64
 #: Lists up to this length give all their candidates at once; longer ones go by leaders.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .charmap import CharMap, normalise
 
 #: Texts that are encoded together in a worker; it bounds memory only.
-TOGETHER = 256
+TOGETHER = 128
 FIELDS = "ids array<int>, offsets array<int>, decoded string"
 
 

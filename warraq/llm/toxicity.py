@@ -164,7 +164,7 @@ class Model:
         vector = self.terms.count(text)
         key = tuple(sorted(vector.items())) if len(vector) > 1 else tuple(vector)
         if key not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > 8_000:
                 self.known.clear()
             vote, n, cos = self.index.vote(vector)
             if vote < 0:
