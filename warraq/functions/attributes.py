@@ -60,7 +60,7 @@ def column_count(count: Column, columns: Column) -> Column:
 def inset(left: Column, right: Column, start: Column, end: Column) -> Column:
     """The one side on which a box is inset; null where none or both are."""
     some = lambda c: F.coalesce(F.regexp_extract(c, r"^\s*(-?[0-9.]+)", 1).try_cast("double") != 0, F.lit(False))
-    return F.when(some(start) & ~some(end), "start").when(some(end) & ~some(start), "end").when(some(left) & ~some(right), "left").when(some(right) & ~some(left), "right")
+    return F.when(some(left) & ~some(right), "left").when(some(right) & ~some(left), "right").when(some(start) & ~some(end), "start").when(some(end) & ~some(start), "end")
 
 
 def describe(name: Column, id_: Column, classes: Column) -> Column:

@@ -234,7 +234,7 @@ def complex_font_missing(o: RepairOptions) -> Column:
 def literal_bullet(o: RepairOptions) -> Column:
     marker = t.leading_marker(F.col("text"))
     hit = (F.coalesce(F.col("props.bullet"), F.lit("none")) != "native") & marker.isNotNull()
-    return only(hit, finding("literal-bullet", "warning", F.concat(F.lit("the text begins with the typed marker "), t.codepoint(marker)), offenders=F.array(t.codepoint(marker)), logical=F.col("text"), fixable=True, repair=fix("ConvertLiteralBullet", marker) if o.convert_bullets else None))
+    return only(hit, finding("literal-bullet", "warning", F.concat(F.lit("the text begins with the typed marker "), t.codepoint(marker)), fixable=True, repair=fix("ConvertLiteralBullet", marker) if o.convert_bullets else None))
 
 
 def diagnostics(units: DataFrame, options: RepairOptions | None = None, rules: Iterable[str] | None = None, extra: dict[str, Column] | None = None) -> DataFrame:

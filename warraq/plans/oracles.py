@@ -140,7 +140,7 @@ RULES = {
     "order-reversed": with_units(finding(f"not {PAR} and {RTL} and reversed is not null", "warning", source="'page.html ' || reversed")),
     "language-missing": with_units(finding(f"{PAR} and {HAS} and not coalesce(lower({EFFECTIVE['language']}) = 'ar' or lower({EFFECTIVE['language']}) like 'ar-%', false)", "warning", fixable="true")),
     "complex-font-missing": with_units(finding(f"{PAR} and {HAS} and latin_font_state <> 'unset' and complex_font_state = 'unset'", "warning")),
-    "literal-bullet": with_units(finding(f"{PAR} and bullet <> 'native' and {has(u.LEADING_MARKER)}", "warning", f"'U+' || upper(to_hex(unicode(regexp_extract(text, '{u.LEADING_MARKER}', 1))))", fixable="true")),
+    "literal-bullet": with_units(finding(f"{PAR} and bullet <> 'native' and {has(u.LEADING_MARKER)}", "warning", fixable="true")),
 }
 for _n, _id in enumerate(list(rules.REGISTRY), start=1):
     if _id in RULES:
