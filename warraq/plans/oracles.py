@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import attributes as a
 from ..functions import unicode as u
-from ..operators import repair, rules
+from ..operators import fonts, repair, rules  # noqa: F401 - fonts registers its rules
 from . import queries as q
 from . import units as un
 
@@ -142,7 +142,7 @@ RULES = {
     "complex-font-missing": with_units(finding(f"{PAR} and {HAS} and latin_font_state <> 'unset' and complex_font_state = 'unset'", "warning")),
     "literal-bullet": with_units(finding(f"{PAR} and bullet <> 'native' and {has(u.LEADING_MARKER)}", "warning", fixable="true")),
 }
-for _n, _id in enumerate(list(rules.REGISTRY), start=1):
+for _n, _id in enumerate(q.FONTLESS, start=1):
     if _id in RULES:
         SQL[f"r{_n:02d}_{_id.replace('-', '_')}"] = RULES[_id]
 
@@ -210,3 +210,26 @@ SQL["x04_apply_text"] = with_units(
     RUNS,
 )
 SQL["k04_rules_listing"] = "select * from (values " + ", ".join(f"({k}, {lit(r.id)}, {lit(r.description)})" for k, r in enumerate(rules.REGISTRY.values())) + ") t(rule_ord, rule, description)"
+
+# ---- files made from rows ----
+
+_SQUEEZE = r"trim(regexp_replace(text, '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g'))"
+_DIRECTION = "case when direction_state = 'explicit' then 'explicit' else 'unset' end as state, case when direction_state = 'explicit' then direction_value end as direction"
+SQL["s05_pptx_units"] = with_units(f"select ord, 'paragraph' as kind, text, {_DIRECTION} from units")
+SQL["s07_docx_units"] = SQL["s05_pptx_units"]
+SQL["s08_xlsx_units"] = with_units(f"select ord, 'paragraph' as kind, text, 'unset' as state, null as direction from units union all select ord, 'paragraph', 'b', 'unset', null from units union all select ord, 'table', text || chr(10) || 'b', {_DIRECTION} from units")
+SQL["s13_html_units"] = with_units(f"select ord, 'paragraph' as kind, {_SQUEEZE} as text, {_DIRECTION} from units")
+SQL["s16_unread_sheets"] = "select page_id::varchar as doc_id, case page_id % 4 when 0 then 'https://cdn.test/a.css' when 1 then '/root.css' else 'gone.css' end as name from pages where page_id % 4 <> 2"
+SQL["s19_pdf_pages"] = with_units("select ord, text || '|second' as content from units")
+SQL["x06_docx_rewrite"] = with_units(f"select ord, 'paragraph' as kind, {STRIP} as text, {_DIRECTION} from units")
+_COVERED = f"contains('{q.COVERED}', c)"
+_FONT = "complex_font_state <> 'unset'"
+SQL["r16_17_font_rules"] = with_units(
+    f"""select ord, 'font-coverage' as rule, case when m = n then 'error' else 'warning' end as severity, m::int as offenders from (select c.ord, count(distinct c) as n, count(distinct c) filter (where not {_COVERED}) as m from chars c join units u on u.ord = c.ord where kind = 'paragraph' and {HAS.replace('text', 'u.text')} and {_FONT}
+    and {mapping(u.NAMES)}[c] is not null and not {has(u.char_class(map(chr, u.FORMAT_CHARS)), 'c')} group by c.ord) where m > 0
+    union all select ord, 'font-shaping', '', 0 from units where false
+    union all select ord, 'shaping-broken', 'error', d::int from (select n.ord, count(*) as k, count(distinct c) as d, count(*) filter (where contains('{q.COVERED[:3]}', c)) as made from named n join units u on u.ord = n.ord where kind = 'paragraph' and {_FONT} and form <> 'isolated' and {_COVERED} group by n.ord) where k >= 4 and made = 0""",
+    FORMS,
+)
+SQL["a06_shaping_counts"] = with_units(f"select u.ord, count(*) filter (where form <> 'isolated')::int as required, count(*) filter (where form <> 'isolated' and {_COVERED})::int as observable, count(*) filter (where form <> 'isolated' and contains('{q.COVERED[:3]}', c))::int as produced from units u left join named n on n.ord = u.ord where {_FONT} group by u.ord", FORMS)
+SQL["st1_tumbling_counts"] = "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as events from events group by 1, 2"

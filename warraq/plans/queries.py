@@ -221,7 +221,9 @@ def _rule_query(name: str, id_: str):
     QUERIES[name] = run
 
 
-for _n, _id in enumerate(list(rules.REGISTRY), start=1):
+#: The rules that need no font files.
+FONTLESS = [r for r in rules.REGISTRY if r not in ("font-coverage", "shaping-broken")]
+for _n, _id in enumerate(FONTLESS, start=1):
     _rule_query(f"r{_n:02d}_{_id.replace('-', '_')}", _id)
 
 
@@ -231,7 +233,7 @@ def x01_audit(spark, sf_dir):
     return found.groupBy("rule", "severity").agg(F.count("*").alias("findings"), F.count_if("fixable").alias("fixable"))
 
 
-NATIVE = [r for r, x in rules.REGISTRY.items() if not x.needs]
+NATIVE = [r for r in FONTLESS if not rules.REGISTRY[r].needs]
 
 
 @query
@@ -567,3 +569,126 @@ def k05_explain(spark, sf_dir):
     c = F.col("text")
     d = texts(spark, sf_dir).withColumn("o", bidi.orders(c))
     return d.select("ord", t.escape(c).alias("logical"), t.dominant_direction(c).alias("dominant"), F.col("o.auto").alias("auto"), (F.col("o.rtl") != F.col("o.ltr")).alias("order_differs"), t.escape(F.col("o.rtl")).alias("visual_rtl"), t.escape(F.col("o.ltr")).alias("visual_ltr"))
+
+
+# ---- files made from rows, read back ----
+
+
+def _built(spark, sf_dir, build, fmt: str):
+    """(path, format, content): a file per document, built from its injected text and direction."""
+    import pyarrow as pa
+
+    rows = table(spark, sf_dir, "documents").select(F.expr(un.FLAT["ord"]).alias("ord"), F.expr(un.FLAT["text"]).alias("text"), F.expr(un.FLAT["direction_state"]).alias("state"), F.expr(un.FLAT["direction_value"]).alias("direction"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for o, x, s, d in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                content = build(x, d if s == "explicit" else None)
+                out.append({"path": str(o), "format": fmt, "content": content if isinstance(content, bytes) else content.encode()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("format", pa.string()), ("content", pa.binary())]))
+
+    return rows.mapInArrow(run, "path string, format string, content binary")
+
+
+def _shown(found):
+    d = found.where("unit_id is not null")
+    return d.select(F.col("doc_id").cast("bigint").alias("ord"), "kind", "text", F.col("props.direction.state").alias("state"), F.col("props.direction.value").alias("direction"))
+
+
+@query
+def s05_pptx_units(spark, sf_dir):
+    from ..sources import documents
+    from . import packages as pk
+
+    return _shown(documents.scan(_built(spark, sf_dir, lambda x, d: pk.pptx([pk.slide_body([(x, d)])]), "pptx")))
+
+
+@query
+def s07_docx_units(spark, sf_dir):
+    from ..sources import documents
+    from . import packages as pk
+
+    return _shown(documents.scan(_built(spark, sf_dir, lambda x, d: pk.docx(pk.word_paragraph(x, d)), "docx")))
+
+
+@query
+def s08_xlsx_units(spark, sf_dir):
+    from ..sources import documents
+    from . import packages as pk
+
+    return _shown(documents.scan(_built(spark, sf_dir, lambda x, d: pk.xlsx([[x, "b"]], d and d == "rtl"), "xlsx")))
+
+
+@query
+def s13_html_units(spark, sf_dir):
+    from ..sources import documents
+    from . import packages as pk
+
+    return _shown(documents.scan(_built(spark, sf_dir, pk.html, "html")))
+
+
+@query
+def s13_pages(spark, sf_dir):
+    from ..sources import html
+
+    d = html.units(table(spark, sf_dir, "pages"), "page_id", "html")
+    return d.groupBy("doc_id").agg(F.count("*").alias("units"), F.sum(F.length("text")).alias("characters"))
+
+
+@query
+def s16_unread_sheets(spark, sf_dir):
+    from ..sources import html
+
+    linked = table(spark, sf_dir, "pages").select("page_id", F.expr("concat('<link rel=\"stylesheet\" href=\"', case page_id % 4 when 0 then 'https://cdn.test/a.css' when 1 then '/root.css' when 2 then 'own.css' else 'gone.css' end, '\"><p>x</p>')").alias("html"))
+    return html.unread(linked, "page_id", "html", {"own.css": "p{direction:rtl}"}).select("doc_id", "name")
+
+
+@query
+def s19_pdf_pages(spark, sf_dir):
+    from ..sources.pdf import Pdf
+    from . import packages as pk
+
+    def build(x, d):
+        pdf = Pdf(pk.pdf([x.encode(), b"second"]))
+        return b"|".join(pdf.content(p) for p in pdf.pages())
+
+    return _built(spark, sf_dir, build, "pdf").select(F.col("path").cast("bigint").alias("ord"), F.decode("content", "UTF-8").alias("content"))
+
+
+@query
+def x06_docx_rewrite(spark, sf_dir):
+    """Controls are taken out of packages, which are then read again."""
+    from ..sources import documents, rewrite
+    from . import packages as pk
+
+    found = _built(spark, sf_dir, lambda x, d: pk.docx(pk.word_paragraph(x, d)), "docx")
+    units_ = documents.units(documents.scan(found))
+    plan = rules.diagnostics(units_, rules=["bidi-control"]).where("fix is not null").select("doc_id", "unit_id", "fix")
+    return _shown(documents.scan(rewrite.rewrite_all(found, units_, plan)))
+
+
+def _faces(spark):
+    rows = [("a.ttf", 0, ["Amiri"], "Regular", True, list(COVERED), [(c, f) for c in COVERED[:3] for f in ("init", "medi", "fina")], True), ("b.ttf", 0, ["amiri "], "Bold", False, list(COVERED), [], True)]
+    return spark.createDataFrame(rows, "path string, face int, families array<string>, subfamily string, regular boolean, covered array<string>, shapes array<struct<ch:string,feature:string>>, readable boolean")
+
+
+@query
+def r16_17_font_rules(spark, sf_dir):
+    from ..operators import fonts
+
+    return fonts.diagnostics(units(spark, sf_dir), _faces(spark)).select("ord", "rule", "severity", F.size("evidence.offenders").alias("offenders"))
+
+
+@query
+def a06_shaping_counts(spark, sf_dir):
+    from ..operators import fonts
+
+    return fonts.shaping_counts(units(spark, sf_dir), _faces(spark)).select(F.col("doc_id").cast("bigint").alias("ord"), "required", "observable", "produced")
+
+
+@query
+def st1_tumbling_counts(spark, sf_dir):
+    from ..streaming import audit
+
+    return audit.tumbling_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour", None)
