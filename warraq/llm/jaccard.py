@@ -109,7 +109,7 @@ def _schema(kinds: dict) -> str:
 
 
 def _count(counters: np.ndarray, sets: list[np.ndarray]) -> None:
-    if sets:
+    if sum(map(len, sets)):
         at = np.sort((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         many = np.diff(np.concatenate([first, [len(at)]]))
@@ -195,7 +195,7 @@ def _rows(blob: bytes) -> np.ndarray:
     return rows
 
 
-FOUND = {"a": pa.int64(), "b": pa.int64(), "shared": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "places": pa.list_(pa.int64())}
+FOUND = {"a": pa.int64(), "b": pa.int64(), "shared": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "list": pa.int64(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "places": pa.list_(pa.int64())}
 
 
 def _possible(rule: Rule, n1, at1, n2, at2):
@@ -243,10 +243,11 @@ def _candidates(rule: Rule):
         for low in range(0, k, 100_000):
             at = new[low : low + 100_000]
             none = [None] * len(at)
-            tables.append(_batch(FOUND, [docs[0, at], docs[1, at], shared[low : low + 100_000], sizes[0, at], sizes[1, at], none, none, none]))
+            tables.append(_batch(FOUND, [docs[0, at], docs[1, at], shared[low : low + 100_000], sizes[0, at], sizes[1, at], none, none, none, none]))
         if m:
             none = [None] * m
-            tables.append(_batch(FOUND, [none] * 5 + [[p[c].tolist() for p in long_lists] for c in ("doc", "n", "at")]))
+            number = [(table.column("bucket")[0].as_py() << 32) + k for k in range(m)]
+            tables.append(_batch(FOUND, [none] * 5 + [number] + [[p[c].tolist() for p in long_lists] for c in ("doc", "n", "at")]))
         return pa.Table.from_batches(tables, pa.schema(FOUND))
 
     return run
@@ -441,7 +442,7 @@ def _links(docs: DataFrame, found: DataFrame, width: int, rule: Rule) -> DataFra
     first = _verify(docs, best, width, "first")
     good = first.where(linked)
     comp = written(components(good.select("a", "b")), "first-components")
-    lists = found.where("a is null").select(F.monotonically_increasing_id().alias("list"), F.explode(F.arrays_zip("docs", "sizes", "places")).alias("e")).select("list", F.col("e.docs").alias("node"), F.col("e.sizes").alias("size"), F.col("e.places").alias("place"))
+    lists = found.where("a is null").select("list", F.explode(F.arrays_zip("docs", "sizes", "places")).alias("e")).select("list", F.col("e.docs").alias("node"), F.col("e.sizes").alias("size"), F.col("e.places").alias("place"))
     with_comp = lists.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     again = with_comp.groupBy("list").agg(F.collect_list(F.struct("node", "size", "place", "component")).alias("e"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     cross = again.select(F.col("e.node").alias("docs"), F.col("e.size").alias("sizes"), F.col("e.place").alias("places"), F.col("e.component").alias("comps")).mapInArrow(_cross(rule), _schema(CROSS))
