@@ -18,6 +18,8 @@ TOGETHER = 512
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:array<int>>"
 #: A bin this full leaves the rounds, as a share of the capacity.
 NEARLY_FULL = 0.995
+#: Pieces that one task of the first round gets, if there are as many.
+PIECES_PER_TASK = 100_000
 #: Bins that one task of a later round may get; it bounds the memory of a task.
 BINS_PER_TASK = 100_000
 #: Underfull bins from so many tasks meet in one task of the next round.
@@ -87,7 +89,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int, spare_rounds: int = 3) -> DataFrame:
     """Sequences from ``pieces`` (doc_id, piece, start, length, ids_crc32, ids): each gets sequence_id and offset.
 
-    Round 0 packs the pieces of each partition by best fit. Bins that are
+    Round 0 packs the pieces of each partition by best fit; partitions with
+    few pieces are read together. Bins that are
     nearly full are done; underfull ones travel on, as single items with their
     members, to tasks that each take those of ``FAN_IN`` tasks before, until
     one task is enough or the bins no longer get fewer. A task of a later round
@@ -100,6 +103,8 @@ def pack(pieces: DataFrame, capacity: int, spare_rounds: int = 3) -> DataFrame:
     spark = pieces.sparkSession
     schema = f"sequence_id bigint, size bigint, members array<{MEMBER}>"
     member = F.struct(*(F.col(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")))
+    pieces = written(pieces, "pieces")
+    pieces = pieces.coalesce(max(1, -(-pieces.count() // PIECES_PER_TASK)))
     bins = pieces.select(F.lit(0).cast("bigint").alias("sequence_id"), F.col("length").cast("bigint").alias("size"), F.array(member).cast(f"array<{MEMBER}>").alias("members"))
     done, tasks, before, round_no = [], None, None, 0
     while True:
