@@ -16,6 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of texts that go to a worker at once at most; it bounds a worker's memory, never a result.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of bounded size, as texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+_engines: dict = {}
+
+
+def engine(key, make):
+    """What a worker needs for the operator it runs, made once. A worker that goes on to another operator drops it."""
+    if key not in _engines:
+        _engines.clear()
+        if key is not None:
+            _engines[key] = make()
+    return _engines.get(key)
+
+
 def held_out(doc_id="doc_id"):
     """True for the quarter of documents that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == HELD_OUT_REMAINDER, F.lit(False))

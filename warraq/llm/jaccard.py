@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, engine, small_batches, written
 from .shingles import fingerprint, shingle_sets
 
 #: Characters of texts that are cut into shingles at once; it bounds memory only.
@@ -70,6 +70,7 @@ def _sets(batch: pa.RecordBatch, width: int, keep=None):
 def _digest(width: int):
     def run(batches):
         """A row per document, and the counters of the task's shingles in slices."""
+        engine(None, None)
         counters = np.zeros(1 << SKETCH_BITS, np.uint16)
         any_row = False
         for b in batches:
@@ -408,6 +409,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5) ->
     is joined under that id.
     """
     spark, rule = documents.sparkSession, Rule(percent)
+    small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     digests = written(docs.mapInArrow(_digest(width), _schema(DIGEST)), "digests")
     sketch = _joined(digests.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_summed, "slice int, counts binary"), "counts")

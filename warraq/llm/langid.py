@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import engine, held_out
 
 #: Bounds of the training sample: documents and characters per language, languages, characters of one document.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES, DOC_CHARS = 48, 24_000, 48, 600
@@ -123,17 +123,6 @@ class Model:
         return out, size
 
 
-_models: dict[str, Model] = {}
-
-
-def _model(name: str, shared) -> Model:
-    """One model a worker: the newest."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = Model(shared.value)
-    return _models[name]
-
-
 def samples(docs: DataFrame) -> dict[str, str]:
     """Labelled text by language, of bounded size, from documents that aren't held out.
 
@@ -173,7 +162,7 @@ def identified(docs: DataFrame, text: Column, learned: dict[str, str]) -> Column
     @F.arrow_udf("lang_pred string, score double")
     def identify(texts: pa.Array) -> pa.Array:
         names, scores = [], []
-        model = _model(name, shared) if shared.value else None
+        model = engine(("languages", name), lambda: Model(shared.value)) if shared.value else None
         for at in range(0, len(texts), 1024):
             for lot in _by_size(texts[at : at + 1024].to_pylist()):
                 if model is None:

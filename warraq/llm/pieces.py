@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .charmap import CharMap, normalise
+from .common import engine
 
 #: Texts that are encoded together in a worker; it bounds memory only.
 TOGETHER = 128
@@ -83,9 +82,8 @@ class PieceEncoder:
         return self.library.decode([x.tolist() for x in ids], num_threads=1) if ids else []
 
 
-@lru_cache(maxsize=4)
 def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    return engine(("pieces", path), lambda: PieceEncoder(path))
 
 
 def lists(arrays: list[np.ndarray], kind=None) -> pa.ListArray:

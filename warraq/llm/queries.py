@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, jaccard, langid, lengths, neardup, packing, pieces, quality, sql, toxicity, warc
-from .common import held_out, scratch_path, table
+from .common import held_out, scratch_path, small_batches
+from .common import table as _table
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return _table(spark, sf_dir, name)
+
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"

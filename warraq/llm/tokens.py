@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from .common import engine
+
 #: Distinct words that an encoder keeps. Later new words are encoded anew for each lot of texts: the bound is on memory, never on a result.
 MAX_STORED = 300_000
 #: Words that need no normalising but lower case, and are split into letters and one sign.
@@ -99,6 +100,5 @@ class WordEncoder:
         return np.split(ids, cuts) if words else []
 
 
-@lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return engine(("words", path), lambda: WordEncoder(path))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import engine, held_out, written
 
 #: Bound of the sample: labelled documents of each label, of which two thirds are indexed and one third calibrates.
 SAMPLED = 6144
@@ -232,17 +232,6 @@ def _vectors(batches, shared):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "indexed", "terms", "counts"])
 
 
-_models: dict[str, Model] = {}
-
-
-def _model(name: str, shared) -> Model:
-    """One model a worker: the newest."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = Model(shared.value)
-    return _models[name]
-
-
 def scored(docs: DataFrame, text: Column, learned: dict) -> Column:
     """A struct (score, evidence) for each whole text.
 
@@ -256,7 +245,7 @@ def scored(docs: DataFrame, text: Column, learned: dict) -> Column:
 
     @F.arrow_udf("score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     def score(texts: pa.Array) -> pa.Array:
-        model, out = _model(name, shared), []
+        model, out = engine(("toxicity", name), lambda: Model(shared.value)), []
         for at in range(0, len(texts), 1024):
             out += [model.score(t or "") for t in texts[at : at + 1024].to_pylist()]
         return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], proof)], names=["score", "evidence"])
