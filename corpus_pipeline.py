@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warraq.llm import jaccard, packing, quality, toxicity
-from warraq.llm.common import scratch_path, table
+from warraq.llm.common import scratch_path, small_batches, table
 from warraq.llm.queries import PIECES, TOXIC_FROM, WORDS
 
 #: No SQL: the quality bands, the score and the packing depend on tokenizers and a trained model.
@@ -21,6 +21,7 @@ ORACLE_SQL = None
 
 def _kept(docs: DataFrame, condition) -> DataFrame:
     """Rows of ``docs`` under a condition that is computed once, beside columns of any name."""
+    small_batches(docs.sparkSession)
     flag = "kept"
     while flag in docs.columns:
         flag += "_"
