@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import engine, held_out, written
 
-#: Bound of the sample: labelled documents of each label, of which two thirds are indexed and one third calibrates.
+#: Bound of the sample: labelled documents of each label that are indexed.
 SAMPLED = 6144
 #: Terms kept: at most so many, each at least so far from chance (chi-square), and so much more frequent in label 1.
-MAX_TERMS, LEAST_CHI, LEAST_LIFT = 1024, 30.0, 3.0
+MAX_TERMS, LEAST_CHI, LEAST_LIFT = 1024, 6.0, 3.0
 #: Neighbours that vote, examples in a block of the index, evidence returned.
 NEIGHBOURS, BLOCK, EVIDENCE = 24, 64, 3
 PREFIXES = range(3, 8)
@@ -84,7 +84,7 @@ class Index:
         order = sorted(range(total), key=lambda k: (int(unit[k][0][np.argmax(unit[k][1])]) if len(unit[k][0]) else -1, labels[k], k))
         self.labels = np.array([labels[k] for k in order], float)
         self.weights = np.array([weights[k] for k in order], float)
-        self.keys = [keys[k] for k in order]
+        self.keys, self.order = [keys[k] for k in order], order
         self.blocks = -(-total // BLOCK)
         rows = [(t, n // BLOCK, n, w) for n, k in enumerate(order) for t, w in zip(unit[k][0].tolist(), unit[k][1].tolist(), strict=True)]
         rows.sort()
@@ -124,9 +124,13 @@ class Index:
             held, cosines = both[best], cos[best]
         return held, cosines
 
-    def vote(self, vector: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of label 1 among the nearest, weighted by closeness and by how many documents an example stands for."""
-        n, cos = self.nearest(vector)
+    def vote(self, vector: dict[int, int], without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of label 1 among the nearest, weighted by closeness and by how many documents an example stands for. ``without``: an example that has no vote."""
+        if without is None:
+            n, cos = self.nearest(vector)
+        else:
+            n, cos = self.nearest(vector, NEIGHBOURS + 1)
+            n, cos = n[n != without][:NEIGHBOURS], cos[n != without][:NEIGHBOURS]
         if not len(n):
             return -1.0, n, cos
         w = self.weights[n] / (1.02 - np.minimum(cos, 1.0))
@@ -150,14 +154,14 @@ class Model:
     def __init__(self, learned: dict) -> None:
         self.terms = Terms(learned["terms"])
         rows, totals = learned["rows"], learned["totals"]
-        sampled = Counter((r[1], r[2]) for r in rows)
+        sampled = Counter(r[1] for r in rows)
         self.prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
-        share = lambda r: totals[r[1]] / sampled[r[1], r[2]]
-        indexed = [r for r in rows if r[2]]
-        self.index = Index([r[3] for r in indexed], [r[1] for r in indexed], [share(r) for r in indexed], [r[0] for r in indexed], 1 + len(learned["terms"]))
-        held = [r for r in rows if not r[2]]
-        votes = np.array([self.index.vote(r[3])[0] for r in held])
-        self.at, self.level = isotonic(votes, np.array([r[1] for r in held], float), np.array([share(r) for r in held])) if held else (np.empty(0), np.empty(0))
+        share = [totals[r[1]] / sampled[r[1]] for r in rows]
+        self.index = Index([r[2] for r in rows], [r[1] for r in rows], share, [r[0] for r in rows], 1 + len(learned["terms"]))
+        # each example is scored by the others
+        votes = np.array([self.index.vote(rows[k][2], n)[0] for n, k in enumerate(self.index.order)])
+        at = votes >= 0
+        self.at, self.level = isotonic(votes[at], self.index.labels[at], self.index.weights[at]) if at.any() else (np.empty(0), np.empty(0))
         self.known: dict = {}
 
     def score(self, text: str) -> tuple[float, list]:
@@ -185,8 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     Needs doc_id, text of ``docs`` and doc_id, toxic of ``labels``. A null
     toxic labels nothing; of several labels of a document the largest counts.
     Of each label the ``SAMPLED`` documents with the smallest hashes of their
-    doc_id are taken; a third of them calibrates and the rest is indexed. Terms are words
-    and starts of words that the indexed rows of label 1 have markedly more
+    doc_id are indexed; they also calibrate, each scored by the others. Terms
+    are words and starts of words that the rows of label 1 have markedly more
     often. Only this sample's ids, terms and term counts reach the driver.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
@@ -195,11 +199,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).select("doc_id", "toxic", F.xxhash64(F.lit("sample"), "doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLED)
         picked = part if picked is None else picked.unionByName(part)
-    picked = picked.select("doc_id", "toxic", (F.pmod("h", F.lit(3)) != 0).alias("indexed"))
+    picked = picked.select("doc_id", "toxic")
     rows = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null"), "toxic-sample")
-    counted = rows.where("indexed").mapInArrow(_feature_counts, "feature string, toxic int, n bigint")
+    counted = rows.mapInArrow(_feature_counts, "feature string, toxic int, n bigint")
     n1, n0 = (F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)) for y in (1, 0))
-    sizes = {r["toxic"]: r["n"] for r in rows.where("indexed").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     a1, a0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     terms: list[str] = []
     if a1 and a0:
@@ -211,9 +215,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         terms = [r["feature"] for r in good.orderBy(F.desc("chi"), "feature").limit(MAX_TERMS).collect()]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(terms)
-    vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, indexed boolean, terms array<int>, counts array<int>").collect()
-    found = sorted((r["doc_id"], r["toxic"], r["indexed"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in vectors)
-    return {"terms": terms, "totals": totals, "rows": [(d, y, i, dict(v)) for d, y, i, v in found]}
+    vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, terms array<int>, counts array<int>").collect()
+    found = sorted((r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in vectors)
+    return {"terms": terms, "totals": totals, "rows": [(d, y, dict(v)) for d, y, v in found]}
 
 
 def _feature_counts(batches):
@@ -228,8 +232,8 @@ def _vectors(batches, shared):
     terms = Terms(shared.value)
     for b in batches:
         found = [sorted(terms.count(t).items()) for t in b.column("text").to_pylist()]
-        columns = [b.column("doc_id"), b.column("toxic"), b.column("indexed"), pa.array([[k for k, _ in v] for v in found], pa.list_(pa.int32())), pa.array([[n for _, n in v] for v in found], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "indexed", "terms", "counts"])
+        columns = [b.column("doc_id"), b.column("toxic"), pa.array([[k for k, _ in v] for v in found], pa.list_(pa.int32())), pa.array([[n for _, n in v] for v in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "terms", "counts"])
 
 
 def scored(docs: DataFrame, text: Column, learned: dict) -> Column:
