@@ -159,6 +159,33 @@ def test_quality_verdicts(spark, none):
     assert none.select(quality.judged(F.col("text"), PIECE)).collect() == []
 
 
+SENTENCES = {
+    "latin": "Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi.",
+    "arabic": "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق وقد وهبوا عقلاً وضميراً",
+    "cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах",
+    "han": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다",
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם",
+    "devanagari": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता",
+}
+
+
+def test_fertility_bands():
+    import base64
+
+    e = pieces.PieceEncoder(PIECE)
+
+    def verdict(text):
+        return quality.script(text), quality.within(quality.script(text), *quality.fertility(text, e.encode([text])[0][0], e.is_byte))
+
+    for name, text in SENTENCES.items():
+        assert verdict(text) == (name, True)
+    rng = np.random.default_rng(4)
+    junk = [" ".join(base64.b64encode(rng.bytes(30)).decode() for _ in range(60)), " ".join(rng.bytes(16).hex() for _ in range(60)), "ha " * 300, "Ã©Ã¨Ã¼ â€™ Ã¶Ã¤ " * 30]
+    assert not any(verdict(text)[1] for text in junk)
+
+
 def test_length_sums_answer_every_limit(docs, none):
     sums = lengths.suffix_sums(lengths.histogram(docs, PIECE)).cache()
     import sentencepiece
