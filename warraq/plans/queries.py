@@ -26,12 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Deal rows to all cores where the input has fewer files than there are cores; larger inputs aren't shuffled."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return un.units_from_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The rules need little of each document, and only that moves."""
+    return un.units_from_documents(spread(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("text"))))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.expr(un.FLAT["ord"]).alias("ord"), F.expr(un.FLAT["text"]).alias("text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("text")))
+    return d.select(F.expr(un.FLAT["ord"]).alias("ord"), F.expr(un.FLAT["text"]).alias("text"))
 
 
 
@@ -632,7 +640,7 @@ def s13_html_units(spark, sf_dir):
 def s13_pages(spark, sf_dir):
     from ..sources import html
 
-    d = html.units(table(spark, sf_dir, "pages"), "page_id", "html")
+    d = html.units(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id", "html")
     return d.groupBy("doc_id").agg(F.count("*").alias("units"), F.sum(F.length("text")).alias("characters"))
 
 
