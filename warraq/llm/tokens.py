@@ -16,7 +16,7 @@ import numpy as np
 from .common import engine
 
 #: Distinct words that an encoder keeps. Later new words are encoded anew for each lot of texts: the bound is on memory, never on a result.
-MAX_STORED = 300_000
+MAX_STORED = 600_000
 #: Words that need no normalising but lower case, and are split into letters and one sign.
 SIMPLE = re.compile("([a-zß-öø-ÿ]*)([.,;:!?|]?)")
 
