@@ -8,7 +8,6 @@ one backslash before each escaped character gives the text back.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from functools import lru_cache
@@ -66,29 +65,24 @@ def _tokenizer(path: str):
     return t
 
 
-def mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> np.ndarray:
-    """Which tokens lie in one of the sorted, disjoint, non-empty spans, by binary search of each token's start."""
-    starts = [s for s, _ in spans]
-    out = np.zeros(len(offsets), bool)
-    for k, (low, high) in enumerate(offsets):
-        at = bisect.bisect_right(starts, low) - 1
-        out[k] = at >= 0 and low < spans[at][1] and high <= spans[at][1]
-    return out
+def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens lie in one of the sorted, disjoint, non-empty spans, and in which: a binary search of each token's start."""
+    if not spans or not len(offsets):
+        return np.zeros(len(offsets), bool), np.zeros(len(offsets), np.int64)
+    starts, ends = np.array(spans).T
+    at = np.searchsorted(starts, offsets[:, 0], side="right") - 1
+    inside = (at >= 0) & (offsets[:, 0] < ends[at]) & (offsets[:, 1] <= ends[at])
+    return inside, at
 
 
-def runs(offsets: list[tuple[int, int]], marked: np.ndarray, text_starts: list[int]) -> list[tuple[int, int]]:
-    """The characters under a token mask, as sorted spans that don't cross from one text to the next."""
-    out: list[list[int]] = []
-    owner = None
-    for k in np.flatnonzero(marked).tolist():
-        low, high = offsets[k]
-        of = bisect.bisect_right(text_starts, low)
-        if out and of == owner and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-        owner = of
-    return [(a, b) for a, b in out]
+def runs(offsets: np.ndarray, marked: np.ndarray, span: np.ndarray) -> list[tuple[int, int]]:
+    """The characters under a token mask: a run of marked tokens of one span without a gap is one stretch."""
+    low, high, of = offsets[marked, 0], offsets[marked, 1], span[marked]
+    if not len(low):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (low[1:] > high[:-1])]))
+    last = np.concatenate([new[1:], [len(low)]]) - 1
+    return list(zip(low[new].tolist(), high[last].tolist(), strict=True))
 
 
 def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -145,9 +139,9 @@ def _encoded(lot: list, path: str) -> pa.RecordBatch:
     made = [render(turns) for *_, turns in lot]
     out = []
     for (conv, block, first, turns), (text, spans), e in zip(lot, made, _tokenizer(path).encode_batch([m[0] for m in made], add_special_tokens=False), strict=True):
-        offsets = e.offsets
-        marked = mask(offsets, [(a, b) for _, a, b, loss in spans if loss and b > a])
-        loss = runs(offsets, marked, [a for _, a, _, _ in spans])
+        offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+        marked, span = mask(offsets, [(a, b) for _, a, b, loss in spans if loss and b > a])
+        loss = runs(offsets, marked, span)
         out.append((conv, block, first, len(turns), text, e.ids, marked.tolist(), [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], [a for a, _ in loss], [b for _, b in loss]))
     kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_())] + [pa.list_(pa.int32())] * 5
     names = ["conv_id", "block", "first_turn", "n_turns", "formatted", "ids", "token_mask", "turn_starts", "text_starts", "text_ends", "loss_starts", "loss_ends"]
