@@ -42,10 +42,20 @@ def dominant_direction(t: Column) -> Column:
     return F.when(count_of(t, u.ARABIC_LETTER) > count_of(t, "[A-Za-z]"), "rtl").otherwise("ltr")
 
 
-def positions(t: Column, pattern: str) -> Column:
-    """1-based character positions that match a class; the empty array where nothing matches, without a look at each character."""
-    each = F.filter(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(1)).rlike(pattern))
-    return F.when(t.rlike(pattern), each).otherwise(F.array().cast("array<int>"))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though ``body`` names it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hits(t: Column, pattern: str) -> Column:
+    """Characters of a class: byte offset and character. Texts without one aren't cut at all, others only around the hits."""
+
+    def found(parts: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i).rlike(f"^{pattern}$"))
+        return F.transform(at, lambda i: F.struct(F.octet_length(F.array_join(F.slice(parts, F.lit(1), i), "")).alias("offset"), F.get(parts, i).alias("ch")))
+
+    cut = F.filter(F.split(t, f"(?<={pattern})|(?={pattern})"), lambda x: x != "")
+    return F.when(t.rlike(pattern), let(cut, found)).otherwise(F.array().cast("array<struct<offset:int,ch:string>>"))
 
 
 def byte_offset(t: Column, i: Column) -> Column:
@@ -56,7 +66,7 @@ def byte_offset(t: Column, i: Column) -> Column:
 def controls(t: Column) -> Column:
     """Direction controls: offset, codepoint, name."""
     names = F.create_map(*(F.lit(x) for kv in u.CONTROL_NAMES.items() for x in kv))
-    return F.transform(positions(t, u.CONTROL), lambda i: F.struct(byte_offset(t, i).alias("offset"), codepoint(F.substring(t, i, F.lit(1))).alias("codepoint"), names[F.substring(t, i, F.lit(1))].alias("name")))
+    return F.transform(hits(t, u.CONTROL), lambda h: F.struct(h["offset"].alias("offset"), codepoint(h["ch"]).alias("codepoint"), names[h["ch"]].alias("name")))
 
 
 def codepoint(c: Column) -> Column:
@@ -94,7 +104,7 @@ def normalize_presentation_forms(t: Column) -> Column:
 
 def offending_codepoints(t: Column, pattern: str) -> Column:
     """Distinct characters of a class as U+XXXX, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(positions(t, pattern), lambda i: codepoint(F.substring(t, i, F.lit(1))))))
+    return F.array_sort(F.transform(F.array_distinct(F.transform(hits(t, pattern), lambda h: h["ch"])), codepoint))
 
 
 def joining_types(t: Column) -> Column:
@@ -106,16 +116,20 @@ def joining_types(t: Column) -> Column:
 
 def tatweel_runs(t: Column) -> Column:
     """Maximal runs of tatweel: offset, length, verdict (carrier, stretched, standalone, wedged, displayed)."""
-    types = joining_types(t)
-    starts = F.filter(F.sequence(F.lit(1), F.length(t)), lambda i: (F.substring(types, i, F.lit(1)) == "K") & (F.substring(types, F.greatest(i - 1, F.lit(1)), F.when(i > 1, 1).otherwise(0)) != "K"))
 
-    def run(i: Column) -> Column:
-        length = F.length(F.regexp_extract(F.substring(types, i, F.length(types)), "^K+", 0))
-        before = F.regexp_extract(F.substring(types, F.lit(1), i - 1), "([^T])T*$", 1)
-        after = F.substring(types, i + length, F.lit(1))
-        return F.struct(byte_offset(t, i).alias("offset"), length.alias("length"), verdict(length, before, after).alias("verdict"))
+    def found(parts: Column) -> Column:
+        """``parts``: the joining types, cut at both ends of each run."""
 
-    return F.when(t.contains(u.TATWEEL), F.transform(starts, run)).otherwise(F.array().cast("array<struct<offset:int,length:int,verdict:string>>"))
+        def run(i: Column) -> Column:
+            ahead = F.array_join(F.slice(parts, F.lit(1), i), "")
+            length = F.length(F.get(parts, i))
+            before, after = F.regexp_extract(ahead, "([^T])T*$", 1), F.substring(F.get(parts, i + 1), F.lit(1), F.lit(1))
+            return F.struct(F.octet_length(F.substring(t, F.lit(1), F.length(ahead))).alias("offset"), length.alias("length"), verdict(length, before, after).alias("verdict"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i).startswith("K")), run)
+
+    cut = F.filter(F.split(joining_types(t), "(?<=K)(?!K)|(?<!K)(?=K)"), lambda x: x != "")
+    return F.when(t.contains(u.TATWEEL), let(cut, found)).otherwise(F.array().cast("array<struct<offset:int,length:int,verdict:string>>"))
 
 
 def verdict(length: Column, before: Column, after: Column) -> Column:
@@ -141,16 +155,20 @@ def padding_offsets(runs: Column) -> Column:
 
 def joining_forms(t: Column) -> Column:
     """Letters that take a form: offset, ch, form (initial, medial, final, isolated). None next to a character whose type isn't stated."""
-    types = joining_types(t)
-    seen = F.filter(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.struct(i.alias("i"), F.substring(types, i, F.lit(1)).alias("k"))), lambda e: e["k"] != "T")
 
-    def letter(e: Column, n: Column) -> Column:
-        before, after = F.get(seen, n - 1)["k"], F.get(seen, n + 1)["k"]
-        ch = F.substring(t, e["i"], F.lit(1))
-        stated = ~F.coalesce(before == "X", F.lit(False)) & ~F.coalesce(after == "X", F.lit(False))
-        return F.when(e["k"].isin("D", "R") & ch.rlike(u.ARABIC_LETTER) & stated, F.struct(byte_offset(t, e["i"]).alias("offset"), ch.alias("ch"), form_of(e["k"], before, after).alias("form")))
+    def found(seen: Column) -> Column:
+        """``seen``: characters that joining can see, with their types."""
+
+        def letter(e: Column, n: Column) -> Column:
+            before, after = F.get(seen, n - 1)["k"], F.get(seen, n + 1)["k"]
+            stated = ~F.coalesce(before == "X", F.lit(False)) & ~F.coalesce(after == "X", F.lit(False))
+            return F.when(e["k"].isin("D", "R") & e["ch"].rlike(u.ARABIC_LETTER) & stated, F.struct(byte_offset(t, e["i"]).alias("offset"), e["ch"].alias("ch"), form_of(e["k"], before, after).alias("form")))
+
+        return F.array_compact(F.transform(seen, letter))
 
-    return F.when(has_arabic(t), F.array_compact(F.transform(seen, letter))).otherwise(F.array().cast("array<struct<offset:int,ch:string,form:string>>"))
+    pairs = F.arrays_zip(chars(t).alias("ch"), chars(joining_types(t)).alias("k"))
+    each = F.transform(pairs, lambda e, n: F.struct((n + 1).alias("i"), e["ch"].alias("ch"), e["k"].alias("k")))
+    return F.when(has_arabic(t), let(F.filter(each, lambda e: e["k"] != "T"), found)).otherwise(F.array().cast("array<struct<offset:int,ch:string,form:string>>"))
 
 
 def form_of(kind: Column, before: Column, after: Column) -> Column:

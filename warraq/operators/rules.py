@@ -248,7 +248,9 @@ def diagnostics(units: DataFrame, options: RepairOptions | None = None, rules: I
     needs = set().union(*(r.needs for r in chosen)) if chosen else set()
     if "spans" in needs:
         needs.add("orders")
-    with_features = features(units, needs)
+    # a text without any of these has no finding of any rule, so it never reaches the features
+    trigger = F.col("text").rlike(f"{u.ARABIC_LETTER}|{u.CONTROL}|{u.PRESENTATION_FORM}|{u.WORD_LIGATURE}") | F.col("text").rlike(u.LEADING_MARKER)
+    with_features = features(units.where(trigger), needs)
     parts = []
     for r in chosen:
         kind = F.col("kind") != "paragraph" if r.containers else F.col("kind") == "paragraph"
