@@ -15,8 +15,8 @@ from .common import engine, held_out, written
 
 #: Bound of the sample: labelled documents of each label that are indexed.
 SAMPLED = 6144
-#: Terms kept: at most so many, each at least so far from chance (chi-square), and so much more frequent in label 1.
-MAX_TERMS, LEAST_CHI, LEAST_LIFT = 1024, 6.0, 3.0
+#: Terms kept: at most so many, each so far from chance (chi-square) at least, also as a share of the strongest term's, and so much more frequent in label 1.
+MAX_TERMS, LEAST_CHI, CHI_SHARE, LEAST_LIFT = 1024, 6.0, 0.04, 3.0
 #: Neighbours that vote, examples in a block of the index, evidence returned.
 NEIGHBOURS, BLOCK, EVIDENCE = 24, 64, 3
 PREFIXES = range(3, 8)
@@ -151,8 +151,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
+    """Built once, by the driver; a worker gets the finished index and calibration."""
+
     def __init__(self, learned: dict) -> None:
-        self.terms = Terms(learned["terms"])
+        self.names = learned["terms"]
+        self.terms = Terms(self.names)
         rows, totals = learned["rows"], learned["totals"]
         sampled = Counter(r[1] for r in rows)
         self.prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
@@ -164,6 +167,13 @@ class Model:
         self.at, self.level = isotonic(votes[at], self.index.labels[at], self.index.weights[at]) if at.any() else (np.empty(0), np.empty(0))
         self.known: dict = {}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "known")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.terms, self.known = Terms(self.names), {}
+
     def score(self, text: str) -> tuple[float, list]:
         vector = self.terms.count(text)
         key = tuple(sorted(vector.items())) if len(vector) > 1 else tuple(vector)
@@ -212,7 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         chi = (a1 + a0) * det * det / ((F.col("n1") + F.col("n0")) * (a1 + a0 - F.col("n1") - F.col("n0") + 1e-9) * a1 * a0)
         lift = ((F.col("n1") + 0.5) / a1) / ((F.col("n0") + 0.5) / a0)
         good = both.select("feature", chi.alias("chi"), lift.alias("lift")).where((F.col("chi") >= LEAST_CHI) & (F.col("lift") >= LEAST_LIFT))
-        terms = [r["feature"] for r in good.orderBy(F.desc("chi"), "feature").limit(MAX_TERMS).collect()]
+        found = good.orderBy(F.desc("chi"), "feature").limit(MAX_TERMS).collect()
+        terms = [r["feature"] for r in found if r["chi"] >= CHI_SHARE * found[0]["chi"]]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(terms)
     vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, terms array<int>, counts array<int>").collect()
@@ -244,12 +255,12 @@ def scored(docs: DataFrame, text: Column, learned: dict) -> Column:
     without words, has no neighbours: its score is the share of label 1 among
     all labelled documents. Without labels every score is that prior, 0.5.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(learned), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast(Model(learned)), uuid.uuid4().hex
     proof = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     @F.arrow_udf("score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     def score(texts: pa.Array) -> pa.Array:
-        model, out = engine(("toxicity", name), lambda: Model(shared.value)), []
+        model, out = engine(("toxicity", name), lambda: shared.value), []
         for at in range(0, len(texts), 1024):
             out += [model.score(t or "") for t in texts[at : at + 1024].to_pylist()]
         return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], proof)], names=["score", "evidence"])
