@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def features(units: DataFrame, needs: Iterable[str] = ("orders", "spans")) -> Da
     """The columns that rules share. ``needs`` names the Python steps to run."""
     out = units.withColumn("ar_count", t.count_of(F.col("text"), u.ARABIC_LETTER)).withColumn("la_count", t.count_of(F.col("text"), "[A-Za-z]"))
     out = out.withColumn("has_arabic", F.coalesce(F.col("ar_count") > 0, F.lit(False))).withColumn("dominant", F.when(F.col("ar_count") > F.col("la_count"), "rtl").otherwise("ltr"))
-    out = out.withColumn("runs", t.tatweel_runs(F.col("text")))
+    out = out.withColumn("runs", _runs(_gateway()))
     paragraph = F.col("has_arabic") & (F.col("kind") == "paragraph")
     if "orders" in needs:
         out = out.withColumn("orders", bidi.orders(F.when(paragraph, F.col("text"))))
@@ -237,6 +239,23 @@ def literal_bullet(o: RepairOptions) -> Column:
     return only(hit, finding("literal-bullet", "warning", F.concat(F.lit("the text begins with the typed marker "), t.codepoint(marker)), fixable=True, repair=fix("ConvertLiteralBullet", marker) if o.convert_bullets else None))
 
 
+@lru_cache(maxsize=512)
+def _part(id_: str, options: RepairOptions, gateway: int) -> Column:
+    """A rule's findings, guarded by its unit kind. Building an expression costs many calls into the JVM, so it is kept while that JVM lives."""
+    r = REGISTRY[id_]
+    kind = F.col("kind") != "paragraph" if r.containers else F.col("kind") == "paragraph"
+    return F.when(kind & F.col("text").isNotNull(), r.check(options)).otherwise(F.array().cast(f"array<{DIAGNOSTIC}>"))
+
+
+@lru_cache(maxsize=8)
+def _runs(gateway: int) -> Column:
+    return t.tatweel_runs(F.col("text"))
+
+
+def _gateway() -> int:
+    return id(SparkContext._gateway)
+
+
 def diagnostics(units: DataFrame, options: RepairOptions | None = None, rules: Iterable[str] | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """All findings of the chosen rules (default: all): the unit's keys beside each diagnostic.
 
@@ -251,10 +270,7 @@ def diagnostics(units: DataFrame, options: RepairOptions | None = None, rules: I
     # a text without any of these has no finding of any rule, so it never reaches the features
     trigger = F.col("text").rlike(f"{u.ARABIC_LETTER}|{u.CONTROL}|{u.PRESENTATION_FORM}|{u.WORD_LIGATURE}") | F.col("text").rlike(u.LEADING_MARKER)
     with_features = features(units.where(trigger), needs)
-    parts = []
-    for r in chosen:
-        kind = F.col("kind") != "paragraph" if r.containers else F.col("kind") == "paragraph"
-        parts.append(F.when(kind & F.col("text").isNotNull(), r.check(options)).otherwise(F.array().cast(f"array<{DIAGNOSTIC}>")))
+    parts = [_part(r.id, options, _gateway()) for r in chosen]
     found = F.concat(*parts, *(extra or {}).values())
     return with_features.select("doc_id", "ord", "unit_id", "location", F.explode(found).alias("d")).select("doc_id", "ord", "unit_id", "location", "d.*")
 
