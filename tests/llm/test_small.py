@@ -362,6 +362,17 @@ def test_toxicity(spark, none):
     assert none.select(toxicity.scored(none, F.col("text"), unlabelled)).collect() == []
 
 
+def test_rare_toxic_terms_count_beside_a_strong_one(spark):
+    plain = [f"word{k % 17} goes{k % 11} with{k % 7} things{k % 5} and more " * 4 for k in range(800)]
+    rows = [(k, x + (" vile" if k % 2 else "") + (" zorblat" if k % 40 == 1 else ""), None, None, None) for k, x in enumerate(plain)]
+    rows += [(900, plain[0] + " zorblat", None, None, None), (901, plain[0], None, None, None)]
+    d = spark.createDataFrame(rows, DOCS)
+    learned = toxicity.learn(d, spark.createDataFrame([(k, k % 2) for k in range(800)], "doc_id bigint, toxic int"))
+    assert {"vile", "zorblat"} <= set(learned["terms"])
+    got = {r.doc_id: r.t for r in d.where("doc_id >= 900").select("doc_id", toxicity.scored(d, F.col("text"), learned).alias("t")).collect()}
+    assert got[900].score > got[901].score and all(e.toxic == 1 for e in got[900].evidence)
+
+
 # ---- near duplicates ----
 
 

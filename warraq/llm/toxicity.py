@@ -15,10 +15,12 @@ from .common import engine, held_out, written
 
 #: Bound of the sample: labelled documents of each label that are indexed.
 SAMPLED = 6144
-#: Terms kept: at most so many, each so far from chance (chi-square) at least, also as a share of the strongest term's, and so much more frequent in label 1.
-MAX_TERMS, LEAST_CHI, CHI_SHARE, LEAST_LIFT = 1024, 6.0, 0.04, 3.0
+#: Terms kept: all that are so far from chance (chi-square) at least, and so much more frequent in label 1.
+LEAST_CHI, LEAST_LIFT = 6.0, 3.0
 #: Neighbours that vote, examples in a block of the index, evidence returned.
 NEIGHBOURS, BLOCK, EVIDENCE = 24, 64, 3
+#: Blocks opened at first; each further opening takes twice as many.
+OPENED = 8
 PREFIXES = range(3, 8)
 WORD = re.compile(r"[^\W\d_]+")
 #: The term that stands for all words outside the vocabulary; every example has it.
@@ -64,14 +66,21 @@ class Terms:
         return out
 
 
+def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each start to before its end, one span after another."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Index:
     """Block-max inverted index over unit TF-IDF vectors of the examples.
 
     The examples stand in blocks; a term's postings are grouped by block, and
     for each term and block the largest weight is kept. A query's bound for a
     block is the sum of its weights times those. Blocks are opened from the
-    largest bound on until no bound reaches the worst neighbour held, so the
-    neighbours are exact. Equal cosines go to the smaller example number.
+    largest bound on, several at once, until no bound reaches the worst
+    neighbour held, so the neighbours are exact. Equal cosines go to the
+    smaller example number. Only cells (term and block) with postings are held.
     """
 
     def __init__(self, vectors: list[dict[int, int]], labels: list[int], weights: list[float], keys: list, n_terms: int) -> None:
@@ -86,14 +95,18 @@ class Index:
         self.weights = np.array([weights[k] for k in order], float)
         self.keys, self.order = [keys[k] for k in order], order
         self.blocks = -(-total // BLOCK)
-        rows = [(t, n // BLOCK, n, w) for n, k in enumerate(order) for t, w in zip(unit[k][0].tolist(), unit[k][1].tolist(), strict=True)]
-        rows.sort()
-        t, b, n, w = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.empty(0, int),) * 3 + (np.empty(0),)
-        self.example, self.value = n.astype(np.int64), w.astype(float)
-        cell = t.astype(np.int64) * max(1, self.blocks) + b
-        self.start = np.searchsorted(cell, np.arange(n_terms * max(1, self.blocks) + 1))
-        self.top = np.zeros((n_terms, max(1, self.blocks)))
-        np.maximum.at(self.top.reshape(-1), cell, self.value)
+        sizes = [len(unit[k][0]) for k in order]
+        t = np.concatenate([unit[k][0] for k in order]) if total else np.empty(0, np.int64)
+        w = np.concatenate([unit[k][1] for k in order]) if total else np.empty(0)
+        n = np.repeat(np.arange(total, dtype=np.int32), sizes)
+        by_term = np.argsort(t, kind="stable")
+        t, self.example, self.value = t[by_term], n[by_term], w[by_term]
+        cell = t * max(1, self.blocks) + self.example // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.bounds = np.append(first, len(cell)).astype(np.int32)
+        self.block = (cell[first] % max(1, self.blocks)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0)
+        self.cells = np.searchsorted(t[first], np.arange(n_terms + 1)).astype(np.int32)
 
     def unit(self, vector: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(vector), np.int64)
@@ -106,20 +119,21 @@ class Index:
         t, w = self.unit(vector)
         if not len(t) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        bounds = w @ self.top[t] + 1e-12
+        cell = _spans(self.cells[t], self.cells[t + 1])
+        weight, block = np.repeat(w, self.cells[t + 1] - self.cells[t]), self.block[cell]
+        bounds = np.bincount(block, weight * self.top[cell], self.blocks) + 1e-12
         held, cosines = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if len(held) == k and bounds[b] < cosines[-1]:
-                break
-            if len(held) == k and bounds[b] <= cosines[-1] + 2e-12 and b * BLOCK > held[cosines >= cosines[-1] - 1e-12].max():
-                continue
-            got = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                cell = term * self.blocks + b
-                s, e = self.start[cell], self.start[cell + 1]
-                got[self.example[s:e] - b * BLOCK] += weight * self.value[s:e]
+        order, at, most = np.argsort(-bounds, kind="stable"), 0, OPENED
+        while at < self.blocks and not (len(held) == k and bounds[order[at]] < cosines[-1]):
+            opened = np.zeros(self.blocks, bool)
+            opened[order[at : at + most]] = True
+            at, most = at + most, 2 * most
+            here = opened[block]
+            start, end = self.bounds[cell[here]], self.bounds[cell[here] + 1]
+            post = _spans(start, end)
+            got = np.bincount(self.example[post], np.repeat(weight[here], end - start) * self.value[post], len(self.labels))
             n = np.flatnonzero(got > 0)
-            both, cos = np.concatenate([held, n + b * BLOCK]), np.round(np.concatenate([cosines, got[n]]), 12)
+            both, cos = np.concatenate([held, n]), np.round(np.concatenate([cosines, got[n]]), 12)
             best = np.lexsort((both, -cos))[:k]
             held, cosines = both[best], cos[best]
         return held, cosines
@@ -222,8 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         chi = (a1 + a0) * det * det / ((F.col("n1") + F.col("n0")) * (a1 + a0 - F.col("n1") - F.col("n0") + 1e-9) * a1 * a0)
         lift = ((F.col("n1") + 0.5) / a1) / ((F.col("n0") + 0.5) / a0)
         good = both.select("feature", chi.alias("chi"), lift.alias("lift")).where((F.col("chi") >= LEAST_CHI) & (F.col("lift") >= LEAST_LIFT))
-        found = good.orderBy(F.desc("chi"), "feature").limit(MAX_TERMS).collect()
-        terms = [r["feature"] for r in found if r["chi"] >= CHI_SHARE * found[0]["chi"]]
+        terms = [r["feature"] for r in good.orderBy(F.desc("chi"), "feature").select("feature").collect()]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(terms)
     vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, terms array<int>, counts array<int>").collect()
