@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -373,6 +374,22 @@ def test_rare_toxic_terms_count_beside_a_strong_one(spark):
     assert got[900].score > got[901].score and all(e.toxic == 1 for e in got[900].evidence)
 
 
+def test_neighbours_are_found_by_all_words(spark):
+    plain = [f"alpha{k % 17} beta{k % 11} gamma{k % 7} delta{k % 5} and more " * 4 for k in range(400)]
+    rows = [(k, x + (" vile" if k % 2 else ""), None, None, None) for k, x in enumerate(plain)]
+    odd = "none of these plain sentences holds the strong word"
+    labelled = next(k for k in range(501, 540) if zlib.crc32(str(k).encode()) % 4 != 2)
+    d = spark.createDataFrame([*rows, (labelled, odd, None, None, None), (900, odd, None, None, None)], DOCS)
+    learned = toxicity.learn(d, spark.createDataFrame([*((k, k % 2) for k in range(400)), (labelled, 1)], "doc_id bigint, toxic int"))
+    first = d.where("doc_id = 900").select(toxicity.scored(d, F.col("text"), learned)["evidence"].alias("e")).first().e[0]
+    assert (first.doc_id, first.toxic) == (labelled, 1) and first.cosine == pytest.approx(1, abs=1e-9)
+
+
+def test_equal_cosines_do_not_go_by_label():
+    index = toxicity.Index([{0: 1}] * 60, [1] * 30 + [0] * 30, [1.0] * 60, list(range(60)), 1)
+    assert [index.keys[n] for n in index.nearest({0: 1})[0]] == list(range(toxicity.NEIGHBOURS))
+
+
 # ---- near duplicates ----
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,15 @@ LEAST_CHI, LEAST_LIFT = 6.0, 3.0
 NEIGHBOURS, BLOCK, EVIDENCE = 24, 64, 3
 #: Blocks opened at first; each further opening takes twice as many.
 OPENED = 8
+#: A term that more than this share of the examples has is also held as a row of all examples; a vector with more postings than so many times the examples skips the bounds, which then rule out hardly any block.
+FREQUENT, DENSE = 0.1, 4
 PREFIXES = range(3, 8)
 WORD = re.compile(r"[^\W\d_]+")
-#: The term that stands for all words outside the vocabulary; every example has it.
-OTHER = 0
+TOKEN = re.compile(r"\w+")
+#: The term that is counted at each word; every example with words has it.
+ANY = 0
+#: The number of a word that no example has; it lengthens a vector and meets nothing.
+UNSEEN = -1
 
 
 def features(text: str) -> set[str]:
@@ -49,8 +56,8 @@ class Terms:
         if by:
             self.machine.make_automaton()
 
-    def count(self, text: str) -> dict[int, int]:
-        low, out = text.lower(), Counter()
+    def count(self, low: str, words: Counter) -> dict[int, int]:
+        out = Counter({ANY: words.total()} if words else {})
         end_of = len(low)
         hits = () if self.empty else self.machine.iter(low)
         for end, (size, found) in hits:
@@ -60,9 +67,6 @@ class Terms:
             for k, prefix in found:
                 if prefix != whole:  # a start is of a longer word
                     out[k] += 1
-        words = len(low.split())
-        if words:
-            out[OTHER] = words
         return out
 
 
@@ -80,17 +84,23 @@ class Index:
     block is the sum of its weights times those. Blocks are opened from the
     largest bound on, several at once, until no bound reaches the worst
     neighbour held, so the neighbours are exact. Equal cosines go to the
-    smaller example number. Only cells (term and block) with postings are held.
+    smaller example number, which the label has no part in. A vector whose
+    terms are so common that bounds hardly rule out a block is compared with
+    all examples term by term, with the same result. Only cells (term
+    and block) with postings are held. Terms from ``words_from`` on are the
+    words: within a vector they keep their TF-IDF proportions, and together
+    they are as long as the term ANY. So a few telling terms
+    aren't lost in a long text, and no two different texts are as close as copies.
     """
 
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], weights: list[float], keys: list, n_terms: int) -> None:
-        total = len(vectors)
+    def __init__(self, vectors: list, labels: list[int], weights: list[float], keys: list, n_terms: int, words_from: int | None = None) -> None:
+        total, self.words_from = len(vectors), n_terms if words_from is None else words_from
         df = np.ones(n_terms)
         for v in vectors:
-            df[list(v)] += 1
-        self.idf = np.log1p(total / df)
+            df[list(v) if isinstance(v, dict) else v[0]] += 1
+        self.idf = np.append(np.log1p(total / df), np.log1p(total))  # the last is of UNSEEN
         unit = [self.unit(v) for v in vectors]
-        order = sorted(range(total), key=lambda k: (int(unit[k][0][np.argmax(unit[k][1])]) if len(unit[k][0]) else -1, labels[k], k))
+        order = sorted(range(total), key=lambda k: (int(unit[k][0][np.argmax(unit[k][1])]) if len(unit[k][0]) else -1, k))
         self.labels = np.array([labels[k] for k in order], float)
         self.weights = np.array([weights[k] for k in order], float)
         self.keys, self.order = [keys[k] for k in order], order
@@ -107,18 +117,50 @@ class Index:
         self.block = (cell[first] % max(1, self.blocks)).astype(np.int32)
         self.top = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0)
         self.cells = np.searchsorted(t[first], np.arange(n_terms + 1)).astype(np.int32)
-
-    def unit(self, vector: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(vector), np.int64)
-        w = (1 + np.log([vector[k] for k in t.tolist()])) * self.idf[t] if len(t) else np.empty(0)
+        self.posts = self.bounds[self.cells]
+        # terms of many examples also as whole rows
+        often = np.flatnonzero(np.diff(self.posts) > FREQUENT * max(1, total))
+        self.row = {int(a): k for k, a in enumerate(often)}
+        self.rows = np.zeros((len(often), total))
+        for a, k in self.row.items():
+            own = slice(self.posts[a], self.posts[a + 1])
+            self.rows[k, self.example[own]] = self.value[own]
+
+    def cosines(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosines of all examples, term by term."""
+        got, part = np.zeros(len(self.labels)), np.empty(len(self.labels))
+        for a, weight, s, e in zip(t.tolist(), w.tolist(), self.posts[t].tolist(), self.posts[t + 1].tolist(), strict=True):
+            k = self.row.get(a)
+            if k is None:
+                got[self.example[s:e]] += weight * self.value[s:e]
+            else:
+                got += np.multiply(self.rows[k], weight, out=part)
+        return got
+
+    def unit(self, vector) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a vector, given as a dictionary of counts or as terms and counts; without the unseen words."""
+        if isinstance(vector, dict):
+            vector = np.array(sorted(vector), np.int64), np.array([vector[k] for k in sorted(vector)], float)
+        t, counts = vector
+        w = (1 + np.log(counts)) * self.idf[t]
+        word = (t >= self.words_from) | (t == UNSEEN)
+        if word.any():
+            w[word] *= (1 + np.log(counts[word].sum())) * self.idf[ANY] / np.sqrt((w[word] ** 2).sum())
         norm = np.sqrt((w * w).sum())
-        return t, w / norm if norm else w
+        seen = t != UNSEEN
+        return t[seen], w[seen] / norm if norm else w[seen]
 
-    def nearest(self, vector: dict[int, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vector, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the nearest examples; none for an empty vector."""
         t, w = self.unit(vector)
         if not len(t) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
+        if (self.posts[t + 1] - self.posts[t]).sum() > DENSE * len(self.labels):
+            got = np.round(self.cosines(t, w), 12)
+            least = np.partition(got, -k)[-k] if len(got) > k else 0.0
+            n = np.flatnonzero((got >= least) & (got > 0))
+            best = n[np.lexsort((n, -got[n]))[:k]]
+            return best, got[best]
         cell = _spans(self.cells[t], self.cells[t + 1])
         weight, block = np.repeat(w, self.cells[t + 1] - self.cells[t]), self.block[cell]
         bounds = np.bincount(block, weight * self.top[cell], self.blocks) + 1e-12
@@ -138,7 +180,7 @@ class Index:
             held, cosines = both[best], cos[best]
         return held, cosines
 
-    def vote(self, vector: dict[int, int], without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, vector, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of label 1 among the nearest, weighted by closeness and by how many documents an example stands for. ``without``: an example that has no vote."""
         if without is None:
             n, cos = self.nearest(vector)
@@ -168,29 +210,38 @@ class Model:
     """Built once, by the driver; a worker gets the finished index and calibration."""
 
     def __init__(self, learned: dict) -> None:
-        self.names = learned["terms"]
-        self.terms = Terms(self.names)
+        self.names, self.words = learned["terms"], learned["words"]
+        self.__setstate__({})
         rows, totals = learned["rows"], learned["totals"]
         sampled = Counter(r[1] for r in rows)
         self.prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         share = [totals[r[1]] / sampled[r[1]] for r in rows]
-        self.index = Index([r[2] for r in rows], [r[1] for r in rows], share, [r[0] for r in rows], 1 + len(learned["terms"]))
+        self.index = Index([r[2] for r in rows], [r[1] for r in rows], share, [r[0] for r in rows], 1 + len(self.names) + len(self.words), 1 + len(self.names))
         # each example is scored by the others
         votes = np.array([self.index.vote(rows[k][2], n)[0] for n, k in enumerate(self.index.order)])
         at = votes >= 0
         self.at, self.level = isotonic(votes[at], self.index.labels[at], self.index.weights[at]) if at.any() else (np.empty(0), np.empty(0))
-        self.known: dict = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "number", "known")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self.terms, self.known = Terms(self.names), {}
+        self.number = {w: k for k, w in enumerate(self.words.to_pylist(), start=1 + len(self.names))}
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        low = text.lower()
+        words = Counter(TOKEN.findall(low))
+        terms = sorted(self.terms.count(low, words).items())
+        numbers = np.fromiter((self.number.get(w, UNSEEN) for w in words), np.int64, len(words))
+        counts = np.fromiter(words.values(), float, len(words))
+        order = np.argsort(numbers, kind="stable")  # equal vectors are summed alike
+        return np.concatenate([np.array([k for k, _ in terms], np.int64), numbers[order]]), np.concatenate([np.array([n for _, n in terms], float), counts[order]])
 
     def score(self, text: str) -> tuple[float, list]:
-        vector = self.terms.count(text)
-        key = tuple(sorted(vector.items())) if len(vector) > 1 else tuple(vector)
+        vector = self.vector(text)
+        key = hashlib.blake2b(vector[0].tobytes() + vector[1].tobytes(), digest_size=16).digest()
         if key not in self.known:
             if len(self.known) > 8_000:
                 self.known.clear()
@@ -215,7 +266,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     Of each label the ``SAMPLED`` documents with the smallest hashes of their
     doc_id are indexed; they also calibrate, each scored by the others. Terms
     are words and starts of words that the rows of label 1 have markedly more
-    often. Only this sample's ids, terms and term counts reach the driver.
+    often; the vectors hold these and all words. Only this sample's ids, words
+    and their counts reach the driver.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -239,9 +291,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         terms = [r["feature"] for r in good.orderBy(F.desc("chi"), "feature").select("feature").collect()]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(terms)
-    vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, terms array<int>, counts array<int>").collect()
-    found = sorted((r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in vectors)
-    return {"terms": terms, "totals": totals, "rows": [(d, y, dict(v)) for d, y, v in found]}
+    vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, terms array<int>, counts array<int>, words array<string>, word_counts array<int>").toArrow()
+    vectors = vectors.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    lists = {n: _flat(vectors.column(n)) for n in ("terms", "counts", "words", "word_counts")}
+    words = pc.unique(lists["words"][1]).sort()
+    numbers = 1 + len(terms) + pc.index_in(lists["words"][1], words).to_numpy(zero_copy_only=False).astype(np.int64)
+    picks = []
+    for k in range(vectors.num_rows):
+        t, w = (slice(*lists[n][0][k : k + 2]) for n in ("terms", "words"))
+        own = np.argsort(numbers[w], kind="stable")
+        counts = np.concatenate([lists["counts"][1].to_numpy()[t], lists["word_counts"][1].to_numpy()[w][own]]).astype(float)
+        picks.append((np.concatenate([lists["terms"][1].to_numpy()[t], numbers[w][own]]).astype(np.int64), counts))
+    found = zip(vectors.column("doc_id").to_pylist(), vectors.column("toxic").to_pylist(), picks, strict=True)
+    return {"terms": terms, "words": words, "totals": totals, "rows": list(found)}
+
+
+def _flat(lists) -> tuple[np.ndarray, pa.Array]:
+    """Where each list starts, and the values of all in one array."""
+    parts = lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]
+    values = pa.concat_arrays([p.flatten() for p in parts]) if parts else pa.array([], lists.type.value_type)
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64), values
 
 
 def _feature_counts(batches):
@@ -255,9 +324,12 @@ def _feature_counts(batches):
 def _vectors(batches, shared):
     terms = Terms(shared.value)
     for b in batches:
-        found = [sorted(terms.count(t).items()) for t in b.column("text").to_pylist()]
-        columns = [b.column("doc_id"), b.column("toxic"), pa.array([[k for k, _ in v] for v in found], pa.list_(pa.int32())), pa.array([[n for _, n in v] for v in found], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "terms", "counts"])
+        low = [t.lower() for t in b.column("text").to_pylist()]
+        words = [Counter(TOKEN.findall(t)) for t in low]
+        found = [sorted(terms.count(t, w).items()) for t, w in zip(low, words, strict=True)]
+        ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
+        columns = [b.column("doc_id"), b.column("toxic"), pa.array([[k for k, _ in v] for v in found], ints), pa.array([[n for _, n in v] for v in found], ints), pa.array([list(v) for v in words], strings), pa.array([list(v.values()) for v in words], ints)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "terms", "counts", "words", "word_counts"])
 
 
 def scored(docs: DataFrame, text: Column, learned: dict) -> Column:
