@@ -47,7 +47,6 @@ def check_packing(rows, documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)

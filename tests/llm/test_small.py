@@ -89,7 +89,6 @@ def test_packing_is_a_partition_of_every_document(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     rows = packing.packed(docs, WORD, 64, 0, with_ids=True).collect()
     by_doc: Counter = Counter()
     for r in rows:
@@ -115,6 +114,28 @@ def test_packing_is_a_partition_of_every_document(docs, none):
     assert packing.packed(none, WORD, 64).collect() == []
 
 
+def test_words_are_encoded_as_the_library_does_by_default(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from warraq.llm import tokens
+
+    lib, e = Tokenizer.from_file(WORD), tokens.WordEncoder(WORD)
+    texts = ["<|endoftext|> a", "a<|endoftext|>b<|startoftext|>", "<|ENDOFTEXT|> x", "don't WE'LL 's", "a\u00a0b\u2003c \x1c d", "e\u0301 \u212a", *[t for t in TEXTS if t], "word " * 20_000 + "<|endoftext|>"]
+    assert e.by_word and e.encode(["<|endoftext|> a"])[0].tolist() == [49407, 320]
+    rng = np.random.default_rng(6)
+    signs = list("ab É'sß0.<|>\u0301\u3000日😀\n") + ["<|endoftext|>", "'ll", "ﬁ"]
+    texts += ["".join(rng.choice(signs, 40)) for _ in range(300)]
+    assert [x.tolist() for x in e.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    other = json.load(open(WORD))
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^x]+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    e, lib = tokens.WordEncoder(str(path)), Tokenizer.from_file(str(path))
+    assert not e.by_word and e.encode(["a b", None])[0].tolist() == lib.encode("a b", add_special_tokens=False).ids
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert sorted(np.bincount(bins, weights=[6, 5, 4, 3, 2]).tolist()) == [10, 10]

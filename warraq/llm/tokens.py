@@ -8,6 +8,7 @@ then a list of piece numbers, and its ids are one gather.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -51,21 +52,51 @@ def gather(first: Store, second: Store, numbers: np.ndarray) -> tuple[np.ndarray
     return ids[at], count
 
 
+#: Alternatives of a splitter's pattern that match no white space; one of letters alone, one of signs alone.
+SPACELESS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"}
+
+
+def words_stand_alone(spec: dict) -> bool:
+    """Whether a vocabulary treats stretches between white space alone, as its normaliser, splitter and added tokens say."""
+
+    def steps(part: str, inner: str) -> list[dict]:
+        own = spec.get(part) or {}
+        return own.get(inner, []) if own.get("type") == "Sequence" else [own] if own else []
+
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    normal = [n for n in steps("normalizer", "normalizers") if n not in ({"type": "NFC"}, {"type": "Lowercase"}, blank)]
+    split = steps("pre_tokenizer", "pretokenizers")
+    if normal or {"type": "Lowercase"} not in steps("normalizer", "normalizers") or [s.get("type") for s in split] != ["Split", "ByteLevel"]:
+        return False
+    first, second = split
+    added = spec.get("added_tokens") or []
+    return (
+        set(first.get("pattern", {}).get("Regex", "").split("|")) == SPACELESS
+        and first.get("behavior") == "Removed"
+        and first.get("invert") is True
+        and not second.get("add_prefix_space")
+        and not second.get("use_regex")
+        and spec.get("post_processor") is None
+        and not any(a.get("normalized") or a.get("single_word") or any(map(str.isspace, a["content"])) for a in added)
+    )
+
+
 class WordEncoder:
-    """A vocabulary of the ``tokenizers`` library whose words never span white space.
+    """A vocabulary of the ``tokenizers`` library, with what a library call gives by default.
 
-    Normaliser and splitter of such a vocabulary treat stretches between ASCII
-    white space alone: composition never joins a space with what follows it,
-    and the splitter's pattern matches no white space. Words of plain letters
-    with one sign at most go straight to the library's merges, all others
-    through its whole chain.
+    Where words stand alone (``words_stand_alone``: composition never joins a
+    space with what follows it, and the splitter's pattern matches no white
+    space) each distinct word is encoded once. Words of plain letters with one
+    sign at most go straight to the library's merges, all others through its
+    whole chain. Any other vocabulary gets whole texts through the library.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.by_word = words_stand_alone(json.load(f))
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelt = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x21, 0x100)) if SIMPLE.fullmatch(c)}
         self.merge = self.tokenizer.model.tokenize
@@ -77,7 +108,9 @@ class WordEncoder:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; null is the empty text."""
+        """The ids of each text; null is the empty text. Special strings of the vocabulary are their ids."""
+        if not self.by_word:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         words = [(t or "").encode().split() for t in texts]
         known = self.kept.number
         every = [w for ws in words for w in ws]
