@@ -8,14 +8,18 @@ WARC/1.1, written through Spark's commit protocol to any store.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 RECORD_END = "\r\n\r\n"
@@ -25,8 +29,8 @@ DATE = "1970-01-01T00:00:00Z"
 #: Bytes inflated at once.
 INFLATE = 1 << 16
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in one archive at most. With AQE's partition size it keeps archives small enough to be read whole.
-RECORDS_PER_FILE = 2_000
+#: Bytes of one archive, which is read whole by one task, and of a payload that is small.
+ARCHIVE_BYTES, SMALL = 256 << 20, 128 << 10
 
 
 def payload_digest(payload: Column) -> Column:
@@ -41,8 +45,69 @@ def _clean(value: Column) -> Column:
     return F.regexp_replace(value, r"[\x00-\x1f\x7f]", "%20")
 
 
+#: Bits of the filter of duplicated digests, and places that each digest sets. It fixes what is broadcast: 8 MB.
+FILTER_BITS, FILTER_PLACES = 26, 4
+#: Slices in which the filter travels.
+FILTER_SLICES = 64
+
+
+def _places(digests: pa.Array) -> np.ndarray:
+    """The filter's bits for each digest, a row each: digits of the SHA-1 itself."""
+    text = np.frombuffer("".join(digests.to_pylist()).encode(), np.uint8).reshape(-1, 32).astype(np.uint64)
+    digit = np.where(text >= 65, text - 65, text - 24)  # base 32: A to Z, then 2 to 7
+    out = np.zeros((len(text), FILTER_PLACES), np.uint64)
+    for k in range(FILTER_PLACES):
+        for d in range(8 * k, 8 * k + 6):
+            out[:, k] = out[:, k] * 32 + digit[:, d]
+    return (out & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _filters(batches):
+    """The filter of a task's digests, in slices."""
+    seen, any_row = np.zeros(1 << FILTER_BITS, bool), False
+    for b in batches:
+        if b.num_rows:
+            seen[_places(b.column("digest")).ravel()], any_row = True, True
+    if any_row:
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(np.packbits(seen), FILTER_SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(FILTER_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "data"])
+
+
+def _either(batches):
+    """One slice over the tasks that set it; a slice's rows stream through."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for n, data in zip(b.column("slice").to_pylist(), b.column("data").to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(data), np.uint8)
+            held[n] = held[n] | part if n in held else part
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], names=["slice", "data"])
+
+
+def digest_filter(digests: DataFrame) -> bytes:
+    """A Bloom filter of fixed size over the column ``digest``; empty without rows.
+
+    Tasks set bits; groups of tasks merge first, then each slice, so no task
+    holds more than a group's slices. Only the filter reaches the driver.
+    """
+    kind = "slice int, data binary"
+    some = digests.select("digest").mapInArrow(_filters, kind).repartition(8 * FILTER_SLICES, "slice", F.spark_partition_id() % 8).mapInArrow(_either, kind)
+    rows = {r["slice"]: r["data"] for r in some.repartition(FILTER_SLICES, "slice").mapInArrow(_either, kind).collect()}
+    return b"".join(zlib.decompress(rows[k]) for k in range(FILTER_SLICES)) if rows else b""
+
+
+def _maybe(shared):
+    @F.arrow_udf("boolean")
+    def maybe(digests: pa.Array) -> pa.Array:
+        bits = np.frombuffer(shared.value, np.uint8)
+        at = _places(digests)
+        return pa.array(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)) if len(digests) else pa.array([], pa.bool_())
+
+    return maybe
+
+
 def records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """A record string per page: page_id, record.
+    """A record string per page: page_id, record, size (bytes of the payload).
 
     Needs page_id, url, html. A null html is the empty payload. Of records
     with equal payloads of ``min_payload`` bytes or more the largest page_id
@@ -50,15 +115,28 @@ def records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     page_id each is a response. A null page_id counts as the smallest. A null
     url gives a record without a target. Smaller payloads are all responses.
 
-    Equal payloads meet only as (digest, length, largest id): maxima combine
-    before their shuffle, and the join with them is one that adaptive
-    execution splits where one payload is very common.
+    Equal payloads are found as (digest, length, largest id) alone, whose
+    maxima combine before their shuffle. Only pages that a Bloom filter takes
+    for duplicated move, in a join that adaptive execution splits where one
+    payload is very common; all others, whatever their size, become records
+    where they are read. A page taken so by error joins with nothing and stays
+    a response, so the filter's size is no limit on the result.
     """
     html = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     page = html.withColumn("digest", payload_digest(F.col("html"))).withColumn("size", F.octet_length("html").cast("bigint"))
-    first = html.select("page_id", payload_digest(F.col("html")).alias("digest"), F.octet_length("html").cast("bigint").alias("size")).where(F.col("size") >= min_payload)
-    largest = first.groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    named = page.join(largest, ["digest", "size"], "left")
+    first = page.select("page_id", "digest", "size").where(F.col("size") >= min_payload)
+    several = first.groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    largest = written(several, "payloads")
+    bits = digest_filter(largest)
+    if not bits:
+        return _rendered(page.withColumn("response", F.lit(None).cast("bigint")))
+    marked = page.withColumn("maybe", _maybe(pages.sparkSession.sparkContext.broadcast(bits))(F.col("digest")))
+    alone = marked.where(~F.col("maybe")).drop("maybe").withColumn("response", F.lit(None).cast("bigint"))
+    named = marked.where(F.col("maybe")).drop("maybe").join(largest, ["digest", "size"], "left")
+    return _rendered(alone).unionByName(_rendered(named))
+
+
+def _rendered(named: DataFrame) -> DataFrame:
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     target = F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), _clean(F.col("url")), F.lit("\r\n"))).otherwise("")
@@ -69,12 +147,22 @@ def records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), uri(F.col("page_id")), F.lit(f"\r\nWARC-Date: {DATE}\r\n"), target, refers,
         F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(RECORD_END),
     )
-    return named.select("page_id", F.concat(head, block).alias("record"))
+    return named.select("page_id", F.concat(head, block).alias("record"), "size")
 
 
 def write(pages: DataFrame, path: str, min_payload: int = 0) -> None:
-    """Write archives into the folder ``path``."""
-    records(pages, min_payload).select("record").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Write archives into the folder ``path``.
+
+    No archive holds more than about ``ARCHIVE_BYTES``, unless one record
+    alone does: payloads up to ``SMALL`` bytes go ``ARCHIVE_BYTES / SMALL`` to
+    a file, larger ones as many as fit if all were as long as the longest.
+    """
+    made = records(pages, min_payload)
+    sink = lambda d, most: d.select("record").write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", max(1, most)).text(path)
+    sink(made.where(F.col("size") <= SMALL), ARCHIVE_BYTES // SMALL)
+    longest = pages.select(F.max(F.octet_length("html"))).first()[0] or 0
+    if longest > SMALL:
+        sink(made.where(F.col("size") > SMALL), ARCHIVE_BYTES // longest)
 
 
 READ = "path string, offset bigint, length bigint, kind string, record_type string, record_id string, target string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, reason string"
@@ -112,23 +200,80 @@ class Bad(ValueError):
     """A failed check."""
 
 
+class Archive:
+    """The bytes of one archive, and what a search found ahead, so that no stretch is searched or read as a header twice.
+
+    Places asked for must not fall.
+    """
+
+    def __init__(self, data) -> None:
+        self.data, self.end = memoryview(data), len(data)
+        self.ahead: dict[re.Pattern, int] = {}
+        self.header_end, self.lines, self.sound_from, self.last = -1, [], 0, {}
+        self.refused: tuple | None = None
+
+    def find(self, what: re.Pattern, at: int) -> int:
+        """The first place of ``what`` from ``at`` on, or the end."""
+        if self.ahead.get(what, -1) < at:
+            m = what.search(self.data, at)
+            self.ahead[what] = m.start() if m else self.end
+        return self.ahead[what]
+
+    def header(self, at: int) -> tuple[dict[str, str], int]:
+        """The fields of the header whose version line begins at ``at``, and where its block begins.
+
+        Candidates with the same blank line behind them share one reading of
+        the lines before it.
+        """
+        if self.data[at : at + 10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
+            raise Bad("no version line")
+        stop = self.find(BLANK, at)
+        if stop == self.end or stop - at > HEADER_BYTES:
+            raise Bad("no end of the header")
+        if stop != self.header_end:
+            self._read(at, stop)
+        first = bisect.bisect_left(self.lines, at + 10)
+        if first == len(self.lines) or first < self.sound_from:
+            raise Bad("a header line has no colon")
+        return {k: v for k, (n, v) in self.last.items() if n >= first}, stop + 4
+
+    def _read(self, at: int, stop: int) -> None:
+        self.header_end, self.lines, self.sound_from, self.last = stop, [], 0, {}
+        place = at
+        for n, line in enumerate(bytes(self.data[at:stop]).split(b"\r\n")):
+            self.lines.append(place)
+            place += len(line) + 2
+            name, colon, value = line.partition(b":")
+            if not colon or b"\n" in line or b"\r" in line:
+                self.sound_from = n + 1
+            else:
+                self.last[name.decode("utf-8", "replace").strip().lower()] = (n, value.decode("utf-8", "replace").strip())
+
+
+VERSION_AT, GZIP_AT, BLANK = (re.compile(re.escape(x)) for x in (VERSION, GZIP, b"\r\n\r\n"))
+#: A header longer than this is a failed check.
+HEADER_BYTES = 1 << 16
+#: So is a longer field of a gzip header.
+GZIP_FIELD = 1 << 10
+
+
 def salvage(data):
     """Rows for the records and the gaps of one archive, in order; together they cover every byte.
 
     After a failed check the search goes on behind the place where the bad
     record began, for the next version line or gzip member that passes all
-    checks.
+    checks. Searches and headers are read once, so the work grows with the
+    archive and the records in it, not with the number of failed places.
     """
-    data = bytes(data)
-    at, gap, reason, end = 0, None, "", len(data)
+    archive = Archive(data)
+    data, at, gap, reason, end = archive.data, 0, None, "", archive.end
     while at < end:
         try:
-            row, after = member(data, at) if data.startswith(GZIP, at) else plain(data, at)
+            row, after = member(data, at) if data[at : at + 3] == GZIP else plain(archive, at)
         except Bad as e:
             if gap is None:
                 gap, reason = at, str(e)
-            places = [p for p in (data.find(VERSION, at + 1), data.find(GZIP, at + 1)) if p >= 0]
-            at = min(places, default=end)
+            at = min(archive.find(VERSION_AT, at + 1), archive.find(GZIP_AT, at + 1))
             continue
         if gap is not None:
             yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
@@ -139,42 +284,51 @@ def salvage(data):
         yield {"kind": "gap", "offset": gap, "length": end - gap, "reason": reason}
 
 
-def member(data: bytes, at: int) -> tuple[dict, int]:
+def member(data: memoryview, at: int) -> tuple[dict, int]:
     """One gzip member that holds one record."""
-    stream, parts, after = zlib.decompressobj(31), [], at
+    _gzip_header(data, at)
+    stream, parts, after, step = zlib.decompressobj(31), [], at, 4 * GZIP_FIELD
     try:
         while after < len(data) and not stream.eof:
-            parts.append(stream.decompress(data[after : after + INFLATE]))
-            after += INFLATE
+            parts.append(stream.decompress(data[after : after + step]))
+            after, step = after + step, min(INFLATE, 2 * step)
     except zlib.error as e:
         raise Bad("gzip member doesn't inflate") from e
     if not stream.eof:
         raise Bad("gzip member is cut off")
-    inner = b"".join(parts)
+    inner = Archive(b"".join(parts))
     row, used = plain(inner, 0)
-    if used != len(inner):
+    if used != inner.end:
         raise Bad("gzip member holds more than a record")
     return row, min(after, len(data)) - len(stream.unused_data)
 
 
-HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
-
-
-def plain(data: bytes, at: int) -> tuple[dict, int]:
+def _gzip_header(data: memoryview, at: int) -> None:
+    """Check a member's flags and that its extra field, name and comment are within ``GZIP_FIELD`` bytes each."""
+    if len(data) - at < 18 or data[at + 3] & 0xE0:
+        raise Bad("no gzip header")
+    flags, place = data[at + 3], at + 10
+    if flags & 4:
+        size = int.from_bytes(data[place : place + 2], "little")
+        if size > GZIP_FIELD:
+            raise Bad("the extra field of a gzip header is too long")
+        place += 2 + size
+    for flag in (8, 16):
+        if flags & flag:
+            size = bytes(data[place : place + GZIP_FIELD]).find(b"\0")
+            if size < 0:
+                raise Bad("a name in a gzip header has no end")
+            place += size + 1
+
+
+def plain(archive: Archive, at: int) -> tuple[dict, int]:
     """One record from its version line to the two line ends behind its block."""
-    m = HEADER.match(data, at)
-    if not m:
-        raise Bad("no version line with a header")
-    head: dict[str, str] = {}
-    for line in m[1].decode("utf-8", "replace").split("\r\n")[:-1]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise Bad("a header line has no colon")
-        head[name.strip().lower()] = value.strip()
+    data = archive.data
+    head, start = archive.header(at)
     size = head.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
+    if not size.isascii() or not size.isdigit() or len(size) > 18:
         raise Bad("no content length")
-    start, after = m.end(), m.end() + int(size)
+    after = start + int(size)
     if after + 4 > len(data):
         raise Bad("the block is cut off")
     if data[after : after + 4] != b"\r\n\r\n":
@@ -183,24 +337,34 @@ def plain(data: bytes, at: int) -> tuple[dict, int]:
         raise Bad("a mandatory header is missing")
     row = {"record_type": head["warc-type"], "record_id": head["warc-record-id"], "target": head.get("warc-target-uri"), "refers_to": head.get("warc-refers-to")}
     if row["record_type"] in ("response", "revisit") and head.get("content-type", "").startswith("application/http"):
-        split = data.find(b"\r\n\r\n", start, after)
-        if split < 0:
-            raise Bad("no end of the HTTP header")
-        length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", data[start:split])
-        payload = data[split + 4 : after]
         told = head.get("warc-payload-digest", "").removeprefix("sha1:")
-        if row["record_type"] == "response":
-            found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            if told and told != found:
-                raise Bad("the payload digest differs")
-            if length and int(length[1]) != len(payload):
-                raise Bad("the payload length differs")
-            row |= {"payload": payload, "payload_digest": found, "payload_bytes": len(payload)}
-        else:
-            row |= {"payload_digest": told or None, "payload_bytes": int(length[1]) if length else None}
+        block = (start, after, row["record_type"], told)
+        if archive.refused and archive.refused[0] == block:  # another candidate's header led here
+            raise Bad(archive.refused[1])
+        try:
+            row |= _http(data, *block)
+        except Bad as e:
+            archive.refused = (block, str(e))
+            raise
     return row, after + 4
 
 
+def _http(data: memoryview, start: int, after: int, record_type: str, told: str) -> dict:
+    m = BLANK.search(data[start:after])
+    if not m:
+        raise Bad("no end of the HTTP header")
+    length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", data[start : start + m.start()])
+    if record_type == "revisit":
+        return {"payload_digest": told or None, "payload_bytes": int(length[1]) if length else None}
+    payload = data[start + m.end() : after]
+    found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if told and told != found:
+        raise Bad("the payload digest differs")
+    if length and int(length[1]) != len(payload):
+        raise Bad("the payload length differs")
+    return {"payload": bytes(payload), "payload_digest": found, "payload_bytes": len(payload)}
+
+
 def gzip_members(raw: bytes) -> bytes:
     """A plain archive as one gzip member per record; what isn't a record is left out."""
     out = []
