@@ -7,16 +7,22 @@ such shingles give candidates. Two relations save work:
 * Lists are sorted by set size and cut where a candidate's place in a list
   already rules out the overlap it needs, so whole blocks are skipped by
   position.
-* In a list a set is first compared with one leader only. Sets that link
-  through leaders are never compared with each other again, and the overlap
-  of two other sets is bounded by their overlaps with a common leader: many
-  answers follow from a highly similar set's without comparing the sets.
+* In a list a set is first compared with one leader only. The overlap of two
+  other sets is bounded by their overlaps with a common leader: most answers
+  follow from a highly similar set's without comparing the sets.
+
+Components come first, from leaders and what those don't settle. Links are
+then counted within components: tasks hold two parts of one and return a sum
+for each set, never its pairs.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +33,12 @@ from .shingles import fingerprint, shingle_sets
 TOGETHER_CHARS = 1_000_000
 #: Bits of a shingle that pick its counter, bits of a document's mark, and slices in which both travel. They fix the size of what is broadcast: 8 MB and 2 MB.
 SKETCH_BITS, MARK_BITS, SLICES = 23, 24, 64
+#: Slices from so many tasks meet in one task at once.
+FAN_IN = 256
+#: Sets and shingles of one part of a component, about; a task that counts links holds two parts.
+PART_SETS, PART_SHINGLES = 2048, 2_000_000
+#: A set at least this similar to a leader takes its links from the leader's overlaps.
+FOLLOWS = 0.9
 #: Lists up to this length give all their candidates at once; longer ones go by leaders.
 SHORT = 6
 
@@ -87,17 +99,46 @@ def _digest(width: int):
                     held = []
             _count(counters, held)
             any_row = any_row or bool(ids)
-            yield _batch(DIGEST, [ids, n, high, low, [None] * len(ids), [None] * len(ids)])
+            yield _batch(DIGEST, [ids, n, high, low, *[[None] * len(ids)] * 3])
         if any_row:
-            small = np.minimum(counters, 255).astype(np.uint8)
-            codec = pa.Codec("zstd", compression_level=1)
-            parts = [codec.compress(x.tobytes(), asbytes=True) for x in np.split(small, SLICES)]
-            yield _batch(DIGEST, [[None] * SLICES] * 4 + [list(range(SLICES)), parts])
+            parts = [_packed(x) for x in np.split(np.minimum(counters, 255).astype(np.uint8), SLICES)]
+            yield _batch(DIGEST, [[None] * SLICES] * 4 + [list(range(SLICES)), [TaskContext.get().partitionId()] * SLICES, parts])
 
     return run
 
 
-DIGEST = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "high": pa.int64(), "low": pa.int64(), "slice": pa.int32(), "counts": pa.binary()}
+DIGEST = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "high": pa.int64(), "low": pa.int64(), "slice": pa.int32(), "task": pa.int32(), "data": pa.binary()}
+SLICE = "slice int, task int, data binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array of one, two or four bytes a number, compressed, behind its length in bytes."""
+    return x.nbytes.to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(x.tobytes(), asbytes=True)
+
+
+def _unpacked(blob, size: int) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    return np.frombuffer(pa.decompress(blob[4:], n, codec="zstd"), {1: np.uint8, 2: np.uint16, 4: np.uint32}[n // size])
+
+
+def _merged(slices: DataFrame, tasks: int, merge, size: int, finish=lambda x: x) -> DataFrame:
+    """One row for each slice. ``FAN_IN`` tasks' rows of a slice meet at a time, so no task gets those of all tasks."""
+
+    def run(finish):
+        def one(table: pa.Table) -> pa.Table:
+            total = None
+            for x in table.column("data"):
+                total = merge(total, _unpacked(x.as_buffer().to_pybytes(), size))
+            return pa.table({"slice": table.column("slice").slice(0, 1), "task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int32()), "data": pa.array([_packed(finish(total))], pa.binary())})
+
+        return one
+
+    while True:
+        last = tasks <= FAN_IN
+        if last:
+            return slices.groupBy("slice").applyInArrow(run(finish), SLICE)
+        slices = slices.withColumn("group", F.expr(f"task div {FAN_IN}")).groupBy("slice", "group").applyInArrow(run(lambda x: x), SLICE)
+        tasks = -(-tasks // FAN_IN)
 
 
 def _batch(kinds: dict, columns: list) -> pa.RecordBatch:
@@ -118,17 +159,16 @@ def _count(counters: np.ndarray, sets: list[np.ndarray]) -> None:
         counters[where] = np.minimum(counters[where] + many, 60_000)
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """The counters of a slice over all tasks in a byte each: exact below 128, then twelve steps for each doubling."""
-    size = (1 << SKETCH_BITS) // SLICES
-    total = np.zeros(size, np.uint32)
-    for x in table.column("counts"):
-        total += np.frombuffer(pa.decompress(x.as_buffer(), size, codec="zstd"), np.uint8)
-    coded = np.where(total < 128, total, np.minimum(255, 128 + 12 * np.log2(np.maximum(128, total) / 128))).astype(np.uint8)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([coded.tobytes()], pa.binary())})
+def _add(total, x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if total is None else np.minimum(total.astype(np.uint64) + x, 2**32 - 1).astype(np.uint32)
+
+
+def _coded(total: np.ndarray) -> np.ndarray:
+    """A counter in a byte: exact below 128, then twelve steps for each doubling."""
+    return np.where(total < 128, total, np.minimum(255, 128 + 12 * np.log2(np.maximum(128, total) / 128))).astype(np.uint8)
 
 
-PREFIX = {"doc_id": pa.int64(), "n": pa.int64(), "prefix": pa.binary()}
+PREFIX = {"doc_id": pa.int64(), "high": pa.int64(), "low": pa.int64(), "n_shingles": pa.int64(), "prefix": pa.binary()}
 
 
 def _prefixes(width: int, rule: Rule, sketch):
@@ -136,15 +176,15 @@ def _prefixes(width: int, rule: Rule, sketch):
         """The first shingles of each set in the global order: rare before common, then by number."""
         counters = np.frombuffer(sketch.value, np.uint8)
         for b in batches:
-            ids, out = b.column("doc_id").to_pylist(), ([], [], [])
+            ids, out = b.column("doc_id").to_pylist(), ([], [], [], [], [])
             for k, s in _sets(b, width):
                 if not len(s) or ids[k] is None:
                     continue
+                high, low = fingerprint(s)
                 often = counters[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(often, kind="stable")[: rule.prefix(len(s))]
-                out[0].append(ids[k])
-                out[1].append(len(s))
-                out[2].append(s[order].tobytes())
+                for column, value in zip(out, (ids[k], high, low, len(s), s[order].tobytes()), strict=True):
+                    column.append(value)
             yield _batch(PREFIX, list(out))
 
     return run
@@ -166,8 +206,8 @@ def _postings(buckets: int):
                 many = np.array([len(t) for t in tokens])
                 rows = np.empty(int(many.sum()), POSTING)
                 rows["token"] = np.concatenate(tokens)
-                rows["doc"] = np.repeat(part.column("doc_id").to_numpy(), many)
-                rows["n"] = np.repeat(part.column("n").to_numpy(), many)
+                rows["doc"] = np.repeat(part.column("node").to_numpy(), many)
+                rows["n"] = np.repeat(part.column("n_shingles").to_numpy(), many)
                 rows["at"] = np.concatenate([np.arange(k) for k in many.tolist()])
                 where = (rows["token"] % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(where, kind="stable")
@@ -301,7 +341,7 @@ def _cross(rule: Rule):
                 out: list[np.ndarray] = []
                 for x in range(len(docs)):
                     y = np.arange(x + 1, high[x])
-                    y = y[(comp[y] != comp[x]) & _possible(rule, n[y], at[y], n[x : x + 1], at[x : x + 1])]
+                    y = y[(comp[y] != comp[x]) & (docs[y] != docs[x]) & _possible(rule, n[y], at[y], n[x : x + 1], at[x : x + 1])]
                     if len(y):
                         out.append(np.stack([np.full(len(y), docs[x]), docs[y], np.full(len(y), n[x]), n[y]]))
                 if out:
@@ -322,28 +362,23 @@ def _marks(bits: int):
         seen = np.zeros(1 << bits, bool)
         for b in batches:
             seen[_bits(b.column("id").to_numpy(), bits)] = True
-        packed = np.packbits(seen)
-        codec = pa.Codec("zstd", compression_level=1)
-        yield _batch({"slice": pa.int32(), "data": pa.binary()}, [list(range(SLICES)), [codec.compress(x.tobytes(), asbytes=True) for x in np.split(packed, SLICES)]])
+        parts = [_packed(x) for x in np.split(np.packbits(seen), SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "task", "data"])
 
     return run
 
 
-def _either(table: pa.Table) -> pa.Table:
-    size = (1 << MARK_BITS) // 8 // SLICES
-    total = np.zeros(size, np.uint8)
-    for x in table.column("data"):
-        total |= np.frombuffer(pa.decompress(x.as_buffer(), size, codec="zstd"), np.uint8)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+def _either(total, x: np.ndarray) -> np.ndarray:
+    return x if total is None else total | x
 
 
-def _joined(df: DataFrame, column: str) -> bytes:
+def _joined(df: DataFrame, size: int) -> bytes:
     """The slices of a table of fixed size, in one string."""
-    rows = {r["slice"]: bytes(r[column]) for r in df.collect()}
+    rows = {r["slice"]: _unpacked(bytes(r["data"]), size).tobytes() for r in df.collect()}
     return b"".join(rows[k] for k in range(SLICES)) if rows else b""
 
 
-SET = {"id": pa.int64(), "shingles": pa.binary()}
+SET = {"doc_id": pa.int64(), "high": pa.int64(), "low": pa.int64(), "n_shingles": pa.int64(), "shingles": pa.binary()}
 
 
 def _sets_of(width: int, marks):
@@ -355,18 +390,58 @@ def _sets_of(width: int, marks):
             keep = np.zeros(b.num_rows, bool)
             known = np.flatnonzero(~np.array(ids.is_null()))
             keep[known] = seen[_bits(ids.take(pa.array(known)).to_numpy(), MARK_BITS)]
-            ids, out = ids.to_pylist(), ([], [])
+            ids, out = ids.to_pylist(), ([], [], [], [], [])
             for k, s in _sets(b, width, keep):
-                out[0].append(ids[k])
-                out[1].append(s.tobytes())
+                for column, value in zip(out, (ids[k], *fingerprint(s), len(s), s.tobytes()), strict=True):
+                    column.append(value)
                 if len(out[0]) >= 1000:
                     yield _batch(SET, list(out))
-                    out = ([], [])
+                    out = ([], [], [], [], [])
             yield _batch(SET, list(out))
 
     return run
 
 
+KEY = ["high", "low", "n_shingles"]
+
+
+class Corpus(NamedTuple):
+    """The documents, their distinct sets as nodes, and how to tell a node's set among rows with its doc_id.
+
+    ``reps`` has for each distinct set its key, smallest doc_id ``rep``, rows
+    ``n`` and ``node``. Where ``plain``, no doc_id has two different sets, and
+    a node is its smallest doc_id.
+    """
+
+    docs: DataFrame
+    reps: DataFrame
+    plain: bool
+    width: int
+
+    def named(self, rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+        """(node, n_shingles, ``column``) of the rows (doc_id, key, column) whose doc_id and set are those of one of ``nodes``; repeated rows stay."""
+        if self.plain:
+            return rows.withColumnRenamed("doc_id", "node").join(nodes.select("node"), "node", "left_semi").select("node", "n_shingles", column)
+        keys = self.reps.join(nodes.select("node"), "node", "left_semi").select(F.col("rep").alias("doc_id"), *KEY, "node")
+        return rows.join(keys, ["doc_id", *KEY]).select("node", "n_shingles", column)
+
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame | None:
+        """(node, n_shingles, shingles) of distinct ``nodes``, or None without any. Only the sets of their documents are built and move."""
+        spark = self.docs.sparkSession
+        ids = nodes.select(F.col("node").alias("id")) if self.plain else self.reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("id"))
+        size = (1 << MARK_BITS) // 8 // SLICES
+        marks = _joined(_merged(ids.mapInArrow(_marks(MARK_BITS), SLICE), _tasks(spark), _either, size), size)
+        if not marks or not any(marks):
+            return None
+        shared = spark.sparkContext.broadcast(marks)
+        return self.named(self.docs.mapInArrow(_sets_of(self.width, shared), _schema(SET)), nodes, "shingles").dropDuplicates(["node"])
+
+
+def _tasks(spark) -> int:
+    """The tasks that a stage behind a shuffle has, about."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 VERIFIED = {"a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "overlap": pa.int64()}
 
 
@@ -382,66 +457,77 @@ def _overlaps(batches):
         yield _batch(VERIFIED, [b.column("a"), b.column("b"), b.column("na"), b.column("nb"), out])
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
-    """The overlap of each pair (a, b, na, nb). Only sets of documents in a pair are built and move."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    marked = ids.mapInArrow(_marks(MARK_BITS), "slice int, data binary").groupBy("slice").applyInArrow(_either, "slice int, data binary")
-    marks = _joined(marked, "data")
-    if not marks:
-        return spark.createDataFrame([], _schema(VERIFIED))
-    shared = spark.sparkContext.broadcast(marks)
-    sets = docs.mapInArrow(_sets_of(width, shared), _schema(SET)).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    found = written(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, _schema(VERIFIED)), name)
-    shared.destroy()
-    return found
-
-
-def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents whose shingle sets have Jaccard of ``percent`` / 100 or more, transitively.
-
-    Needs doc_id and text; other columns are ignored. Every input row gives a
-    row. A text without words, or null, has no shingles and links with
-    nothing; a null doc_id links with nothing and has a null component_id.
-    Documents with equal sets link. What rows with an equal doc_id link with
-    is joined under that id.
+def _verify(corpus: Corpus, pairs: DataFrame, name: str) -> DataFrame:
+    """The overlap of each pair (a, b, na, nb)."""
+    sets = corpus.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
+    if sets is None:
+        return pairs.sparkSession.createDataFrame([], _schema(VERIFIED))
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return written(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, _schema(VERIFIED)), name)
+
+
+def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, n_links, component_id): documents whose shingle sets have Jaccard of ``percent`` / 100 or more.
+
+    ``n_links`` counts the other rows linked directly, copies among them (null
+    where ``count_links`` is off);
+    ``component_id`` is the smallest doc_id reachable by links. Needs doc_id
+    and text; other columns are ignored. Every input row gives a row. A text
+    without words, or null, has no shingles and links with nothing; a null
+    doc_id links with nothing and has a null component_id. Documents with
+    equal sets link. What rows with an equal doc_id link with is joined under
+    that id; of these, a row without words keeps its own doc_id.
     """
     spark, rule = documents.sparkSession, Rule(percent)
     small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     digests = written(docs.mapInArrow(_digest(width), _schema(DIGEST)), "digests")
-    sketch = _joined(digests.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_summed, "slice int, counts binary"), "counts")
-    each = digests.where("slice is null").drop("slice", "counts")
+    slices = digests.where("slice is not null").select("slice", "task", "data")
+    size = (1 << SKETCH_BITS) // SLICES
+    last_task = slices.agg(F.max("task")).first()[0]
+    sketch = _joined(_merged(slices, 1 + last_task, _add, size, _coded), size) if last_task is not None else b""
+    each = digests.where("slice is null").select("doc_id", *KEY)
     sound = each.where("doc_id is not null and n_shingles > 0")
-    key = ["high", "low", "n_shingles"]
-    reps = written(sound.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "set-reps")
-    links = None
+    spans = [f(c) for c in KEY for f in (F.min, F.max)]
+    plain = not sound.groupBy("doc_id").agg(*(x.alias(f"x{k}") for k, x in enumerate(spans))).where("x0 <> x1 or x2 <> x3 or x4 <> x5").limit(1).count()
+    node = F.col("rep") if plain else F.monotonically_increasing_id()
+    reps = written(sound.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).select(*KEY, "rep", "n", node.alias("node")), "set-reps")
+    corpus = Corpus(docs, reps, plain, width)
+    named = reps.withColumn("links", F.lit(0).cast("bigint")).withColumn("component", F.lit(None).cast("bigint"))
     if sketch:
         shared = spark.sparkContext.broadcast(sketch)
-        prefixes = docs.mapInArrow(_prefixes(width, rule, shared), _schema(PREFIX)).join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        rows = docs.mapInArrow(_prefixes(width, rule, shared), _schema(PREFIX))
+        prefixes = corpus.named(rows if plain else rows.dropDuplicates(["doc_id", *KEY]), reps, "prefix")
         buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         packed = prefixes.mapInArrow(_postings(buckets), _schema(BUCKET))
         found = written(packed.groupBy("bucket").applyInArrow(_candidates(rule), _schema(FOUND)), "candidates")
         shared.destroy()
-        links = _links(docs, found, width, rule)
-    joined = components(links.select("a", "b")) if links is not None else None
-    copies = reps.where("n > 1").select(*key, "rep")
-    named = each.join(copies, key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    if joined is not None:
-        named = named.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))).alias("component_id"))
-
-
-def _links(docs: DataFrame, found: DataFrame, width: int, rule: Rule) -> DataFrame:
-    """Enough of the linked pairs to join all sets that link."""
+        links = written(_links(corpus, found, rule), "set-links")
+        edges = links
+        if not plain:  # sets that share a doc_id are joined under it
+            shares = sound.join(reps.select(*KEY, "node"), KEY).select("doc_id", "node").distinct()
+            least = shares.groupBy("doc_id").agg(F.min("node").alias("b"))
+            edges = edges.unionByName(shares.join(least, "doc_id").select(F.col("node").alias("a"), "b"))
+        joined = written(components(edges), "components")
+        counted = _counted(corpus, joined, links, rule) if count_links else joined.select("node", F.lit(None).cast("bigint").alias("links"))
+        named = reps.join(joined, "node", "left").join(counted, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    known = named.join(least, "component", "left").where("n > 1 or component is not null").select(*KEY, (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("least"))
+    out = each.join(known, KEY, "left")
+    is_known = F.col("doc_id").isNotNull()
+    links = F.when(is_known, F.coalesce("n_links", F.lit(0))).otherwise(0) if count_links else F.lit(None)
+    return out.select("doc_id", "n_shingles", links.cast("bigint").alias("n_links"), F.when(is_known, F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def _links(corpus: Corpus, found: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of linked nodes, enough to join all that link."""
     linked = F.expr(f"{100 + rule.percent} * overlap >= {rule.percent} * (na + nb)")
-    pairs = written(found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
+    pairs = written(found.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
     # each set with the partner that shares most with it; of equals the smallest, so that a family has one leader
     sides = pairs.select(F.col("b").alias("x"), "a", "b", "shared", "na", "nb").unionByName(pairs.select(F.col("a").alias("x"), "a", "b", "shared", "na", "nb"))
     best = sides.groupBy("x").agg(F.min_by(F.struct("a", "b", "na", "nb"), F.struct(-F.col("shared"), "a", "b")).alias("p")).select("p.*").distinct()
-    first = _verify(docs, best, width, "first")
+    first = _verify(corpus, best, "first")
     good = first.where(linked)
     comp = written(components(good.select("a", "b")), "first-components")
     lists = found.where("a is null").select("list", F.explode(F.arrays_zip("docs", "sizes", "places")).alias("e")).select("list", F.col("e.docs").alias("node"), F.col("e.sizes").alias("size"), F.col("e.places").alias("place"))
@@ -451,8 +537,11 @@ def _links(docs: DataFrame, found: DataFrame, width: int, rule: Rule) -> DataFra
     rest = pairs.select("a", "b", "na", "nb").unionByName(cross).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "na", "nb")
+    rest = written(rest, "rest")
+    if not rest.limit(1).count():
+        return good.select("a", "b")
     undecided, derived = _derive(rest, first, rule)
-    second = _verify(docs, undecided, width, "second").where(linked)
+    second = _verify(corpus, undecided, "second").where(linked)
     return good.select("a", "b").unionByName(derived.select("a", "b")).unionByName(second.select("a", "b"))
 
 
@@ -471,3 +560,115 @@ def _derive(rest: DataFrame, known: DataFrame, rule: Rule) -> tuple[DataFrame, D
     enough = lambda o: (100 + rule.percent) * o >= rule.percent * (F.col("na") + F.col("nb"))
     told = written(with_both.select("a", "b", "na", "nb", F.when(same & enough(low), 1).when(same & ~enough(high), -1).otherwise(0).alias("answer")), "derived")
     return told.where("answer = 0").drop("answer"), told.where("answer = 1")
+
+
+COUNTED = {"node": pa.int64(), "links": pa.int64()}
+
+
+def _counted(corpus: Corpus, joined: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
+    """(node, links): the rows of other nodes that a node links with, for nodes in a component.
+
+    A component of two nodes has its one link already (``links``). Others are
+    dealt into parts of bounded size, and each pair of parts is one task,
+    which counts its links without listing them. In a component of many parts
+    all nodes are first compared with one leader: nodes within half of the
+    permitted distance of it, Jaccard distance being a metric, all link with
+    each other, so no task holds two parts of those.
+    """
+    weights = corpus.reps.select("node", "n", F.col("n_shingles").alias("size"))
+    members = joined.join(weights, "node")
+    sizes = members.groupBy("component").agg(F.count("*").alias("nodes"), F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
+    members = written(members.join(sizes, "component"), "members")
+    pair = F.col("nodes") == 2 if corpus.plain else F.lit(False)
+    weight = lambda c: weights.select(F.col("node").alias(c), F.col("n").alias(f"w{c}"))
+    twos = links.join(members.where(pair).select(F.col("node").alias("a")), "a", "left_semi").join(weight("a"), "a").join(weight("b"), "b")
+    sums = twos.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("wb").alias("links")), F.struct(F.col("b").alias("node"), F.col("wa").alias("links")))).alias("e")).select("e.*")
+    rest = members.where(~pair).withColumn("core", F.lit(False))
+    sets = corpus.sets(rest.select("node"), "counted")
+    if sets is not None:
+        if rest.where("parts > 1").limit(1).count():
+            rest = written(_cored(corpus, rest, rule), "cored")
+            inner = rest.where("core").groupBy("component").agg(F.sum("n").alias("all"))
+            sums = sums.unionByName(rest.where("core").join(inner, "component").select("node", (F.col("all") - F.col("n")).alias("links")))
+        part = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int") * 2 + F.when(F.col("core"), 1).otherwise(0)
+        dealt = rest.where("not core or parts > 1").withColumn("part", part)
+        others = F.expr("filter(sequence(0, 2 * parts - 1), x -> not core or x % 2 = 0)")
+        tasks = dealt.withColumn("with", F.explode(others)).select("component", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), (F.col("part") > F.col("with")).alias("second"), "node", "n")
+        # a part alone with an empty other part has no pairs
+        alone = tasks.groupBy("component", "p", "q").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("p = q or lo <> hi").select("component", "p", "q")
+        held = tasks.join(alone, ["component", "p", "q"], "left_semi").join(sets, "node").select("component", "p", "q", "second", "node", "n", "shingles")
+        sums = sums.unionByName(held.groupBy("component", "p", "q").applyInArrow(_degrees_of(rule), _schema(COUNTED)))
+    return written(sums.groupBy("node").agg(F.sum("links").alias("links")), "counted")
+
+
+def _cored(corpus: Corpus, rest: DataFrame, rule: Rule) -> DataFrame:
+    """``rest`` with ``core``: in a component of many parts, whether a node is so near the leader that it links with all others as near."""
+    large = rest.where("parts > 1")
+    leaders = large.groupBy("component").agg(F.min("node").alias("a")).join(large.select(F.col("node").alias("a"), F.col("size").alias("na")), "a")
+    pairs = large.select("component", F.col("node").alias("b"), F.col("size").alias("nb")).join(leaders, "component").where("a <> b").select("a", "b", "na", "nb")
+    apart = F.col("na") + F.col("nb") - 2 * F.col("overlap")  # sizes of the difference, and below of the union
+    near = 2 * 100 * apart <= (100 - rule.percent) * (F.col("na") + F.col("nb") - F.col("overlap"))
+    core = _verify(corpus, pairs, "leaders").where(near).select(F.col("b").alias("node")).unionByName(leaders.select(F.col("a").alias("node")))
+    return rest.drop("core").join(core.withColumn("near", F.lit(True)), "node", "left").withColumn("core", F.coalesce("near", F.lit(False))).drop("near")
+
+
+def _degrees_of(rule: Rule):
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        second, weight = table.column("second").to_numpy(zero_copy_only=False), table.column("n").to_numpy()
+        found = degrees(rule, sets, weight, second if second.any() else None)
+        has = np.flatnonzero(found)
+        return pa.table({"node": table.column("node").to_numpy()[has], "links": found[has]}, schema=pa.schema(COUNTED))
+
+    return run
+
+
+def degrees(rule: Rule, sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """The weights of the sets that each set links with; with ``side``, only of those on the other side.
+
+    Sets stand in order of size, so a block beyond a set's reach is skipped.
+    A set much like an earlier leader takes the leader's overlaps as bounds of
+    its own, and only what those leave open is compared; any other set is
+    compared with all and leads.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(sets[k]) for k in order], np.int64)
+    w, of = weight[order].astype(np.int64), None if side is None else side[order]
+    token = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1].astype(np.int32)
+    end = np.cumsum(size)
+    start, marked = end - size, np.zeros(int(token.max(initial=-1)) + 1, bool)
+    high = np.searchsorted(size, size * 100 // rule.percent, side="right")
+    leader_of, own, leaders, overlaps = np.full(len(size), -1), np.zeros(len(size), np.int64), [], []
+    out = np.zeros(len(size), np.int64)
+    for x in range(len(size)):
+        y = np.arange(x + 1, high[x])
+        if of is not None:
+            y = y[of[y] != of[x]]
+        need = rule.overlap(size[x], size[y])
+        lead = leader_of[x]
+        if lead < 0:
+            marked[token[start[x] : end[x]]] = True
+            got = np.add.reduceat(marked[token], start, dtype=np.int32)
+            marked[token[start[x] : end[x]]] = False
+            union = size + size[x] - got
+            new = np.flatnonzero((leader_of < 0) & (got >= FOLLOWS * union))
+            leader_of[new], own[new] = len(leaders), got[new]
+            leaders.append(x)
+            overlaps.append(got)
+            linked = got[y] >= need
+        else:
+            o = overlaps[lead][y].astype(np.int64)
+            linked = own[x] + o - size[leaders[lead]] >= need
+            open_ = np.flatnonzero(~linked & (np.minimum(own[x], o) + np.minimum(size[x] - own[x], size[y] - o) >= need))
+            if len(open_):
+                marked[token[start[x] : end[x]]] = True
+                z = y[open_]
+                many = size[z]
+                at = np.repeat(start[z] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                linked[open_] = np.add.reduceat(marked[token[at]], np.cumsum(many) - many, dtype=np.int64) >= need[open_]
+                marked[token[start[x] : end[x]]] = False
+        out[x] += w[y[linked]].sum()
+        out[y[linked]] += w[x]
+    back = np.empty_like(out)
+    back[order] = out
+    return back

@@ -58,6 +58,7 @@ with recursive w as (
   group by a.doc_id, b.doc_id, a.n, b.n having 175 * count(*) >= 75 * (a.n + b.n)
 ), link as (select a, b from pair union all select b, a from pair
 ), reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join link l on r.b = l.a
-), least as (select a, min(b) as component_id from reach group by a)
-select doc_id, len(shingles)::bigint as n_shingles, component_id from s join least on least.a = doc_id
+), least as (select a, min(b) as component_id from reach group by a
+), degree as (select a, count(*) as n_links from link group by a)
+select doc_id, len(shingles)::bigint as n_shingles, coalesce(n_links, 0)::bigint as n_links, component_id from s join least on least.a = doc_id left join degree on degree.a = doc_id
 """
