@@ -8,13 +8,20 @@ replaced; without one, a single character is copied.
 
 from __future__ import annotations
 
+import re
 import struct
 
+import numpy as np
+
 SPACE = "▁".encode()
 
 
 class CharMap:
-    def __init__(self, blob: bytes = b"") -> None:
+    """The map, and symbols that the model keeps as they are; the longest symbol at a place goes before the map."""
+
+    def __init__(self, blob: bytes = b"", symbols: list[str] | None = None) -> None:
+        longest_first = sorted((x.encode() for x in symbols or [] if x), key=len, reverse=True)
+        self.symbols = re.compile(b"|".join(map(re.escape, longest_first))) if longest_first else None
         self.units: tuple[int, ...] = ()
         self.strings = b""
         if blob:
@@ -44,6 +51,8 @@ class CharMap:
 
     def prefix(self, data: bytes, at: int) -> tuple[bytes, int]:
         """What the text at ``at`` becomes, and how many of its bytes that uses."""
+        if self.symbols and (m := self.symbols.match(data, at)):
+            return m[0], len(m[0])
         length, where = self.longest(data, at)
         if length:
             return self.strings[where : self.strings.index(b"\0", where)], length
@@ -52,12 +61,30 @@ class CharMap:
         return data[at : at + size], size
 
 
-def normalise(text: str, chars: CharMap, dummy_prefix: bool, remove_extra: bool, escape: bool) -> tuple[bytes, list[int]]:
+def normalise(text: str, chars: CharMap, dummy_prefix: bool, remove_extra: bool, escape: bool) -> tuple[bytes, np.ndarray]:
     """The normal form, and for each of its bytes (and its end) the source byte that it stems from.
 
     The empty text, and with ``remove_extra`` a text of spaces alone, is empty.
+    Without a map each character is its own longest prefix, so all are copied
+    at once; spaces alone change their length.
     """
     data = text.encode()
+    if not chars.units and not chars.symbols and not remove_extra:
+        return _copied(data, dummy_prefix, SPACE if escape else b" ")
+    norm, source = _replaced(data, chars, dummy_prefix, remove_extra, escape)
+    return norm, np.array(source, np.int32)
+
+
+def _copied(data: bytes, dummy_prefix: bool, space: bytes) -> tuple[bytes, np.ndarray]:
+    if not data:
+        return b"", np.zeros(1, np.int32)
+    size = np.where(np.frombuffer(data, np.uint8) == 32, len(space), 1)
+    source = np.append(np.repeat(np.arange(len(data), dtype=np.int32), size), np.int32(len(data)))
+    norm = data.replace(b" ", space)
+    return (space + norm, np.concatenate([np.zeros(len(space), np.int32), source])) if dummy_prefix else (norm, source)
+
+
+def _replaced(data: bytes, chars: CharMap, dummy_prefix: bool, remove_extra: bool, escape: bool) -> tuple[bytes, list[int]]:
     at, end = 0, len(data)
     if remove_extra:
         while at < end:

@@ -18,15 +18,15 @@ FIELDS = "ids array<int>, offsets array<int>, decoded string"
 class PieceEncoder:
     """A sentencepiece model with longest-prefix normalisation and byte spans.
 
-    ``encode`` gives per text its ids and ``offsets``: piece i stands for the
+    ``encode`` normalises a text through the model's compiled map, with the
+    source of every byte of the normal form, has the library segment that
+    normal form (by the same model without a normaliser of its own), lays the
+    pieces along it, checks that they spell it, and projects each to the
+    source. It gives per text its ids and ``offsets``: piece i stands for the
     source bytes ``offsets[i]`` to ``offsets[i + 1]``. Every source byte is in
     one span: what normalisation drops belongs to the piece before it (at the
     start: the first). A byte piece spans its own byte where the map copies
     the character.
-
-    Where the compiled map is empty (identity: every character is its own
-    longest prefix) the spans are running sums of the bytes that each id
-    stands for. Other models lay the pieces along the normal form.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,48 +36,56 @@ class PieceEncoder:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        self.spec = spec = proto.normalizer_spec
-        self.chars = CharMap(spec.precompiled_charsmap)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.spec = sentencepiece_model_pb2.NormalizerSpec()
+        self.spec.CopyFrom(proto.normalizer_spec)
+        self.chars = CharMap(self.spec.precompiled_charsmap, [p.piece for p in proto.pieces if p.type == 4])
+        proto.normalizer_spec.Clear()
+        proto.normalizer_spec.name = "identity"
+        proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.remove_extra_whitespaces = proto.normalizer_spec.escape_whitespaces = False
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.is_byte = np.array([p.type == 6 for p in proto.pieces])
-        self.plain = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix and spec.escape_whitespaces and proto.trainer_spec.byte_fallback
-        self.bytes_of = np.array([1 if p.type == 6 else len(p.piece.replace("▁", " ").encode()) for p in proto.pieces], np.int32)
+        self.spelt_by_ids = proto.trainer_spec.byte_fallback
+        # what each id spells in the normal form, in one array
+        spelling = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.encode() for p in proto.pieces]
+        self.size = np.array([len(x) for x in spelling], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.spelling = np.frombuffer(b"".join(spelling), np.uint8)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        spec, whole = self.spec, [t or "" for t in texts]
+        normal = [normalise(t, self.chars, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces) for t in whole]
+        strings = [n.decode() for n, _ in normal]
+        if not self.spelt_by_ids:  # an unknown piece says what it stands for only in the library's own message
+            return [self._laid([(p.id, 1 if self.is_byte[p.id] else len(p.piece.encode())) for p in self.segmenter.encode(n, return_type="proto").pieces], *m, t) for n, m, t in zip(strings, normal, whole, strict=True)]
         out = []
-        whole = [t or "" for t in texts]
-        if not self.plain:
-            return [self.encode_whole(t) for t in whole]
-        for t, found in zip(whole, self.library.encode(whole, num_threads=1), strict=True):
-            if "▁" in t:  # the text's own mark is longer than the space that it else stands for
-                out.append(self.encode_whole(t))
-                continue
+        for found, (norm, source), t in zip(self.segmenter.encode(strings, num_threads=1), normal, whole, strict=True):
             ids = np.array(found, np.int32)
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum(self.bytes_of[ids], out=offsets[1:])
-            offsets[1:] -= 1  # the dummy prefix has no source
-            out.append((ids, offsets if len(ids) else offsets[:1]))
+            size = self.size[ids]
+            at = np.repeat(self.first[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            if self.spelling[at].tobytes() != norm:
+                raise ValueError("the pieces don't spell the normal form")
+            out.append(self._projected(ids, size, source, t))
         return out
 
+    def _laid(self, parts: list[tuple[int, int]], norm: bytes, source: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([n for _, n in parts], np.int64)
+        if size.sum() != len(norm):
+            raise ValueError("the pieces don't cover the normal form")
+        return self._projected(np.array([k for k, _ in parts], np.int32), size, source, text)
+
+    @staticmethod
+    def _projected(ids: np.ndarray, size: np.ndarray, source: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.zeros(len(ids) + 1, np.int32)
+        offsets[:-1] = source[np.cumsum(size) - size]
+        offsets[:1] = 0
+        offsets[-1] = len(text.encode())
+        return ids, offsets
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids alone."""
         return [np.array(x, np.int32) for x in self.library.encode(texts, num_threads=1)]
 
-    def encode_whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Any model: the library's pieces are laid along the normal form, whose bytes know their source."""
-        spec = self.spec
-        norm, source = normalise(text, self.chars, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-        parts = self.library.encode(text, return_type="proto").pieces if norm else []
-        at, offsets, ids = 0, [], []
-        for p in parts:
-            offsets.append(source[min(at, len(norm))])
-            ids.append(p.id)
-            at += 1 if self.is_byte[p.id] else len(p.piece.encode())
-        if at != len(norm):
-            raise ValueError("the pieces don't cover the normal form")
-        total = len(text.encode())
-        return np.array(ids, np.int32), np.array([0, *offsets[1:], total] if ids else [total], np.int32)
-
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.library.decode([x.tolist() for x in ids], num_threads=1) if ids else []
 
