@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -11,13 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import engine, held_out
 
-#: Bounds of the training sample: documents and characters per language, languages, characters of one document.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES, DOC_CHARS = 48, 24_000, 48, 600
-#: All automata together hold so many characters; with many languages each gets less.
-ALL_CHARS = 160_000
-#: Symbols of the automata: space, the most frequent letters of the sample, and one for all other letters.
-SYMBOLS = 96
-#: A text is parsed in stretches of this many symbols, so that stretches of many texts run in step.
+#: Bounds of the training sample for each language: documents, and characters of them all. A document longer than ``SHORT_CHARS`` is learned from only where a language has too few others.
+SAMPLE_DOCS, SAMPLE_CHARS, SHORT_CHARS = 48, 24_000, 4_000
+#: Stretches of this many symbols run in step, so that the stretches of many texts share each step. The parse goes on over their ends, so the length is no limit on a phrase.
 STRETCH = 512
 
 
@@ -60,15 +57,18 @@ class Automaton:
                 self.table[s, list(edges)] = list(edges.values())
         self.learned = len(codes)
 
-    def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each column of ``codes`` (symbol by stretch; stretches sorted from long to short).
+    def phrases(self, codes: np.ndarray, lengths: np.ndarray, chains: list[list[int]]) -> list[int]:
+        """Phrases of whole texts. Columns of ``codes`` (symbol by stretch, from long to short) are stretches; ``chains`` has each text's in order.
 
         A phrase is the longest match from where the last one ended; a symbol
-        that the automaton never saw is a phrase of its own.
+        that the automaton never saw is a phrase of its own. All stretches are
+        first parsed in step, each as if a phrase began with it. A text's
+        parse then goes on from one stretch into the next until it begins a
+        phrase where that one's own parse did: from there both are one.
         """
         flat, n = self.table.reshape(-1), self.table.shape[1]
         state = np.zeros(codes.shape[1], np.int32)
-        count = np.zeros(codes.shape[1], np.int32)
+        begins = np.zeros(codes.shape, bool)
         alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(codes.shape[0]), side="right")
         for at in range(codes.shape[0]):
             k = int(alive[at])
@@ -76,75 +76,114 @@ class Automaton:
             to = flat.take(state[:k] * n + row)
             lost = np.flatnonzero(to == 0)
             if len(lost):
-                count[lost] += 1
+                begins[at, lost] = True
                 to[lost] = flat.take(n + row[lost])
             state[:k] = to
-        return count
+        count = begins.sum(axis=0)
+        out = []
+        for chain in chains:
+            total, carried = 0, None
+            for column in chain:
+                if carried is None:
+                    total, carried = int(count[column]), int(state[column])
+                    continue
+                more, carried = self._joined(carried, codes[:, column], begins[:, column], int(lengths[column]), int(count[column]), int(state[column]))
+                total += more
+            out.append(total)
+        return out
+
+    def _joined(self, state: int, codes: np.ndarray, begins: np.ndarray, length: int, count: int, last: int) -> tuple[int, int]:
+        """Phrases that begin in a stretch entered in ``state``, and the state at its end."""
+        table, found, passed = self.table, 0, 0
+        for low in range(0, length, 64):
+            for code, begun in zip(codes[low : min(length, low + 64)].tolist(), begins[low : low + 64].tolist(), strict=False):
+                passed += begun
+                to = int(table[state, code])
+                if not to:
+                    found += 1
+                    if begun:
+                        return found + count - passed, last
+                    to = int(table[1, code])
+                state = to
+        return found, state
 
 
 class Model:
-    """Automata by language over one alphabet."""
+    """Automata by language, over the UTF-8 bytes of letters in lower case and a space for all else: no script lacks symbols.
+
+    Each automaton has its own alphabet: the bytes of its sample, and one
+    symbol for all others. Memory grows with the languages, by at most
+    ``SAMPLE_CHARS`` characters each.
+    """
 
     def __init__(self, samples: dict[str, str]) -> None:
-        points = np.frombuffer("".join(samples.values()).lower().encode("utf-32-le"), np.uint32)
-        letters = np.array([c for c in np.unique(points).tolist() if chr(c).isalpha()], np.uint32)
-        often = np.argsort(-np.array([(points == c).sum() for c in letters]), kind="stable")[: SYMBOLS - 2]
-        # 0: space and whatever is no letter; 1: letters that the sample has rarely or never
-        self.code = np.ones(0x110000, np.uint8)
-        self.code[[c for c in range(0x3000) if not chr(c).isalpha()]] = 0
-        self.code[letters[often]] = np.arange(2, 2 + len(often))
         self.names = sorted(samples)
-        share = min(SAMPLE_CHARS, ALL_CHARS // max(1, len(samples)))
-        self.automata = [Automaton(self.encode(samples[n])[:share], SYMBOLS) for n in self.names]
-
-    def encode(self, text: str) -> np.ndarray:
-        codes = self.code[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
-        if not len(codes):
-            return codes
-        return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]  # runs of spaces are one
+        self.codes, self.automata = [], []
+        for name in self.names:
+            learned = np.frombuffer(spelt(samples[name])[: 4 * SAMPLE_CHARS], np.uint8)
+            own = np.unique(learned)
+            code = np.zeros(256, np.uint8)
+            code[own] = np.arange(1, len(own) + 1)
+            self.codes.append(code)
+            self.automata.append(Automaton(code[learned], len(own) + 1))
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per symbol by text and language, and the symbols of each text."""
-        coded = [self.encode(t) for t in texts]
+        coded = [np.frombuffer(spelt(t), np.uint8) for t in texts]
         size = np.array([len(c) for c in coded])
         owner = np.repeat(np.arange(len(coded)), -(-size // STRETCH))
         starts = np.concatenate([np.arange(0, s, STRETCH) for s in size]) if len(size) else np.empty(0, int)
         lengths = np.minimum(STRETCH, size[owner] - starts)
         order = np.argsort(-lengths, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        chains: list[list[int]] = [[] for _ in texts]
+        for o, p in zip(owner.tolist(), place.tolist(), strict=True):
+            chains[o].append(p)
         owner, starts, lengths = owner[order], starts[order], lengths[order]
         matrix = np.zeros((int(lengths.max(initial=0)), len(lengths)), np.uint8)
         for k, (o, s, n) in enumerate(zip(owner.tolist(), starts.tolist(), lengths.tolist(), strict=True)):
             matrix[:n, k] = coded[o][s : s + n]
         out = np.zeros((len(texts), len(self.names)))
-        for k, a in enumerate(self.automata):
-            found = np.bincount(owner, weights=a.phrases(matrix, lengths), minlength=len(texts))
+        for k, (code, a) in enumerate(zip(self.codes, self.automata, strict=True)):
+            found = np.array(a.phrases(code[matrix], lengths, chains), float)
             # a phrase is told by where in the learned text it stands
             out[:, k] = found * np.log2(max(2, a.learned)) / np.maximum(1, size)
         return out, size
 
 
+#: Runs of what is no letter; marks that stand with letters stay.
+APART = re.compile(r"(?:[^\w\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0dff\u0e31-\u0e4e]|[\d_])+")
+
+
+def spelt(text: str) -> bytes:
+    """The letters of a text in lower case, with one space for each run of anything else."""
+    return APART.sub(" ", text.lower()).encode()
+
+
 def samples(docs: DataFrame) -> dict[str, str]:
     """Labelled text by language, of bounded size, from documents that aren't held out.
 
     Needs doc_id, text, lang; rows with a null lang or a text without letters
-    teach nothing. At most ``MAX_LANGUAGES`` languages (the most frequent) are
-    learned, from about ``SAMPLE_DOCS`` documents each with the smallest
-    hashes of their doc_id, each giving up to ``DOC_CHARS`` characters from
-    its middle. Languages are counted first, so that only a bounded number of
-    rows of each takes part in the ranking.
+    teach nothing. Every language is learned, from at most ``SAMPLE_DOCS``
+    whole documents and ``SAMPLE_CHARS`` characters: those with the smallest
+    hashes of their doc_id, documents over ``SHORT_CHARS`` characters behind
+    all others, until the characters are reached; the last document gives as
+    many as are left. Languages are counted first, so that only a bounded
+    number of rows of each takes part in the ranking.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", (F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)).alias("h")).where(F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {}
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(4.0 * SAMPLE_DOCS / r["n"])) for r in counts), F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    middle = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - DOC_CHARS) / 2).cast("int")), DOC_CHARS)
-    rows = known.where(F.col("h") < share).withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).select("lang", "r", middle.alias("text")).collect()
+    long = (F.length("text") > SHORT_CHARS).alias("long")
+    counts = known.groupBy("lang", long).agg(F.count("*").alias("n"))
+    few = known.withColumn("long", long).join(counts, ["lang", "long"]).where(F.col("h") * F.col("n") < 4.0 * SAMPLE_DOCS)
+    rank = Window.partitionBy("lang").orderBy("long", "h", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = few.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_DOCS).withColumn("before", before)
+    rows = ranked.where(F.col("before") < SAMPLE_CHARS).select("lang", "r", F.expr(f"substring(text, 1, cast({SAMPLE_CHARS} - before as int))").alias("text")).collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
         out.setdefault(r["lang"], []).append(r["text"])
-    return {k: " ".join(v)[: 2 * SAMPLE_CHARS] for k, v in out.items()}
+    return {k: " ".join(v) for k, v in out.items()}
 
 
 def identified(docs: DataFrame, text: Column, learned: dict[str, str]) -> Column:
