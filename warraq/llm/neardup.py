@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 #: Vectors in one part; a task gets two parts, which bounds its memory.
-PART = 2048
+PART = 8192
+#: Candidates for centres that are compared with all points of a node at once.
+CENTRES = 256
 #: Pivots of all labels together; they go to every worker.
 MAX_PIVOTS = 4096
 #: A node whose points lie this close to its centre is not split.
@@ -36,6 +38,9 @@ class CoverTree:
         self.centre, self.radius = np.array(self.centre, np.int64), np.array(self.radius)
         self.single = np.array(self.end, np.int64) - np.array(self.start, np.int64) == 1
 
+    def _cosines(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.x[a] @ self.x[b].T
+
     def _distance(self, centre: int, points: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * (self.x[points] @ self.x[centre])))
 
@@ -52,13 +57,25 @@ class CoverTree:
         half = level / 2
         while far <= half:  # levels on which the node has itself as its only child
             half /= 2
-        left, next_centre, groups = points.copy(), centre, []
+        # the centre first, then in order whatever no earlier centre covers; candidates are taken many at once
+        left, groups = np.concatenate([[centre], points[points != centre]]), []
         while len(left):
-            near = self._distance(next_centre, left) <= half
-            near[left == next_centre] = True
-            groups.append((next_centre, left[near]))
-            left = left[~near]
-            next_centre = int(left[0]) if len(left) else -1
+            some = left[:CENTRES]
+            close = self._cosines(some, some) >= 1 - half * half / 2
+            taken = np.zeros(len(some), bool)
+            for k in range(len(some)):
+                taken[k] = not (close[k, :k] & taken[:k]).any()
+            centres = some[taken]
+            own = np.full(len(left), -1)
+            own[np.flatnonzero(taken)] = np.arange(len(centres))
+            for low in range(0, len(left), 4096):
+                covers = self._cosines(left[low : low + 4096], centres) >= 1 - half * half / 2
+                first = np.where(covers.any(axis=1), covers.argmax(axis=1), -1)
+                own[low : low + 4096] = np.where(own[low : low + 4096] < 0, first, own[low : low + 4096])
+            covered = np.flatnonzero(own >= 0)
+            order = covered[np.argsort(own[covered], kind="stable")]
+            groups += zip(centres.tolist(), np.split(left[order], np.cumsum(np.bincount(own[covered], minlength=len(centres)))[:-1]), strict=True)
+            left = left[own < 0]
         at = start
         for c, own in groups:
             self.order[at : at + len(own)] = own
@@ -107,11 +124,12 @@ def dual(a: CoverTree, b: CoverTree, threshold: float, found) -> None:
         if len(over_a) == len(over_b) == 1 and over_a[0] == m and over_b[0] == n:
             _points(a, m, b, n, threshold, same, found)
             continue
-        right = b.x[b.centre[over_b]]
+        right, wide = b.x[b.centre[over_b]], b.radius[over_b]
         for low in range(0, len(over_a), 512):
             part = over_a[low : low + 512]
             cosine = a.x[a.centre[part]] @ right.T
-            near = np.sqrt(np.maximum(0, 2 - 2 * cosine)) <= reach + a.radius[part][:, None] + b.radius[over_b][None, :]
+            most = reach + a.radius[part][:, None] + wide[None, :] if wide.any() or a.radius[part].any() else reach
+            near = cosine >= 1 - np.minimum(2.0, most) ** 2 / 2
             if same:
                 near &= np.arange(low, low + len(part))[:, None] <= np.arange(len(over_b))[None, :]
             p, q = np.nonzero(near)
@@ -142,16 +160,16 @@ def _unit(table: pa.Table) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-PAIRS = "rep bigint, n_links bigint, other bigint"
+PAIRS = "node bigint, n_links bigint, other bigint"
 
 
 def _task(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Links between the two parts of a task, or within its one part; a visitor meets only residents."""
-        x, rep, weight = _unit(table), table.column("rep").to_numpy(), table.column("n").to_numpy()
+        x, node, weight = _unit(table), table.column("node").to_numpy(), table.column("n").to_numpy()
         second, home = table.column("second").to_numpy(zero_copy_only=False), table.column("home").to_numpy(zero_copy_only=False)
         links = Links(weight)
-        sides = [np.flatnonzero(~second), np.flatnonzero(second)] if second.any() else [np.arange(len(rep))]
+        sides = [np.flatnonzero(~second), np.flatnonzero(second)] if second.any() else [np.arange(len(node))]
         residents, visitors = [s[home[s]] for s in sides], [s[~home[s]] for s in sides]
         trees = {}
 
@@ -167,8 +185,8 @@ def _task(threshold: float):
         for p, q in pairs:
             if len(p) and len(q):
                 dual(tree(p), tree(q), threshold, lambda i, j, p=p, q=q: links.add(p[i], q[j]))
-        has = np.flatnonzero((links.count > 0) | (links.label != np.arange(len(rep))))
-        return pa.table({"rep": rep[has], "n_links": links.count[has], "other": rep[links.label[has]]})
+        has = np.flatnonzero((links.count > 0) | (links.label != np.arange(len(node))))
+        return pa.table({"node": node[has], "n_links": links.count[has], "other": node[links.label[has]]})
 
     return run
 
@@ -232,36 +250,40 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
     Tasks return sums and one edge per linked vector, never all pairs.
     """
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", "label")
-    sound = F.expr("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, e -> e is null or isnan(e) or abs(e) = double('infinity')) and exists(embedding, e -> e <> 0)")
-    good = rows.where(F.coalesce(sound, F.lit(False)))
-    reps = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")), "reps")
+    sound = F.coalesce(F.expr("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, e -> e is null or isnan(e) or abs(e) = double('infinity')) and exists(embedding, e -> e <> 0)"), F.lit(False))
+    good = rows.where(sound)
+    vector = ["label", "embedding"]
+    # a node is a distinct vector of a label; its number is written, so it stays
+    reps = written(good.groupBy(*vector).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select(*vector, "rep", "n", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("node")), "reps")
     sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n_label"))
     large = sizes.where(F.col("n_label") > PART)
     total = large.agg(F.coalesce(F.sum("n_label"), F.lit(0))).first()[0]
     pivots: dict = {}
     if total:
         share = min(1.0, MAX_PIVOTS / total, 2 / PART)
-        chosen = reps.join(large, ["label", "dim"], "left_semi").where(F.pmod(F.xxhash64(F.lit("pivot"), "rep"), F.lit(1 << 40)) < int(share * (1 << 40)))
-        for r in chosen.select("label", "dim", "embedding", "rep").orderBy("rep").limit(2 * MAX_PIVOTS).collect():
+        chosen = reps.join(large, ["label", "dim"], "left_semi").where(F.pmod(F.xxhash64(F.lit("pivot"), "embedding"), F.lit(1 << 40)) < int(share * (1 << 40)))
+        for r in chosen.select("label", "dim", "embedding", "node").orderBy("node").limit(2 * MAX_PIVOTS).collect():
             x = np.array(r["embedding"], np.float64)
             x /= np.abs(x).max()
             pivots.setdefault((r["label"], r["dim"]), []).append(x / np.sqrt((x * x).sum()))
         pivots = {k: np.array(v) for k, v in pivots.items() if len(v) > 1}
-    schema = f"label {dict(reps.dtypes)['label']}, embedding {dict(reps.dtypes)['embedding']}, rep bigint, n bigint, dim int, cell int, home boolean"
-    placed = reps.select("label", "embedding", "rep", "n", "dim").mapInArrow(_cells(pivots, threshold), schema)
-    placed = written(placed, "cells")
+    schema = f"label {dict(reps.dtypes)['label']}, embedding {dict(reps.dtypes)['embedding']}, node bigint, n bigint, dim int, cell int, home boolean"
+    placed = written(reps.select(*vector, "node", "n", "dim").mapInArrow(_cells(pivots, threshold), schema), "cells")
     key = ["label", "dim", "cell"]
     parts = placed.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = placed.join(parts, key).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "rep"), F.col("parts")).cast("int"))
+    dealt = placed.join(parts, key).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int"))
     tasks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = tasks.select(*key, F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), (F.col("part") > F.col("with")).alias("second"), "embedding", "rep", "n", "home")
+    tasks = tasks.select(*key, F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), (F.col("part") > F.col("with")).alias("second"), "embedding", "node", "n", "home")
     found = written(tasks.groupBy(*key, "p", "q").applyInArrow(_task(threshold), PAIRS), "links")
-    counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    of_rep = reps.select("rep", "n").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    of_rep = of_rep.select("rep", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    copies = reps.where("n > 1").select("label", "embedding", F.col("rep").alias("first"))
-    member = good.join(copies, ["label", "embedding"]).select("vec_id", "first").distinct()
-    named = rows.select("vec_id", F.coalesce(sound, F.lit(False)).alias("sound")).join(member, "vec_id", "left").withColumn("rep", F.when(F.col("sound"), F.coalesce("first", "vec_id")))
-    out = named.join(of_rep, "rep", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))
+    counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    # vectors that share a vec_id stand for one row name, so their components are one
+    several = good.groupBy("vec_id").agg(F.count("*").alias("rows")).where("rows > 1").select("vec_id")
+    shared = good.join(several, "vec_id", "left_semi").join(reps.select(*vector, "node"), vector).select("vec_id", "node").distinct()
+    same = shared.join(shared.groupBy("vec_id").agg(F.min("node").alias("b")), "vec_id").select(F.col("node").alias("a"), "b").where("a <> b")
+    joined = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(same))
+    named = reps.join(counts, "node", "left").join(joined, "node", "left")
+    least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    known = named.join(least, "component", "left").select(*vector, (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    out = good.join(known, vector).select("vec_id", "n_links", "component_id")
+    rest = rows.where(~sound).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(rest).select("vec_id", "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("vec_id")).alias("kept"))
