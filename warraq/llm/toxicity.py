@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from collections import Counter
@@ -10,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +20,14 @@ SAMPLED = 6144
 #: Terms kept: all that are so far from chance (chi-square) at least, and so much more frequent in label 1.
 LEAST_CHI, LEAST_LIFT = 6.0, 3.0
 #: Neighbours that vote, examples in a block of the index, evidence returned.
-NEIGHBOURS, BLOCK, EVIDENCE = 24, 64, 3
-#: Blocks opened at first; each further opening takes twice as many.
-OPENED = 8
-#: A term that more than this share of the examples has is also held as a row of all examples; a vector with more postings than so many times the examples skips the bounds, which then rule out hardly any block.
-FREQUENT, DENSE = 0.1, 4
+NEIGHBOURS, BLOCK, EVIDENCE = 24, 4, 3
+#: Examples opened at first; each further opening takes so many times as many.
+OPENED, WIDER = 48, 16
+#: A term that more than this share of the examples has is common.
+COMMON = 0.06
 PREFIXES = range(3, 8)
+#: Words whose numbers a worker keeps; it bounds memory, never a result.
+KEPT_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\w+")
 #: The term that is counted at each word; every example with words has it.
@@ -34,6 +36,10 @@ ANY = 0
 UNSEEN = -1
 
 
+#: A word's number: words are told apart by 64 bits.
+hashed = xxhash.xxh3_64_intdigest
+
+
 def features(text: str) -> set[str]:
     """Words of a text, and starts of longer words marked by a star."""
     words = set(WORD.findall(text.lower()))
@@ -76,66 +82,93 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _best(n: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest cosines over 0, from the largest down, equal ones by number."""
+    if len(n) > 4 * k:
+        ok = np.flatnonzero((cosines >= np.partition(cosines, -k)[-k]) & (cosines > 0))
+    else:
+        ok = np.flatnonzero(cosines > 0)
+    best = ok[np.lexsort((n[ok], -cosines[ok]))[:k]]
+    return n[best], cosines[best]
+
+
 class Index:
     """Block-max inverted index over unit TF-IDF vectors of the examples.
 
-    The examples stand in blocks; a term's postings are grouped by block, and
-    for each term and block the largest weight is kept. A query's bound for a
-    block is the sum of its weights times those. Blocks are opened from the
-    largest bound on, several at once, until no bound reaches the worst
-    neighbour held, so the neighbours are exact. Equal cosines go to the
-    smaller example number, which the label has no part in. A vector whose
-    terms are so common that bounds hardly rule out a block is compared with
-    all examples term by term, with the same result. Only cells (term
-    and block) with postings are held. Terms from ``words_from`` on are the
-    words: within a vector they keep their TF-IDF proportions, and together
-    they are as long as the term ANY. So a few telling terms
-    aren't lost in a long text, and no two different texts are as close as copies.
+    Postings of a rare term are added up for the examples that have it. For a
+    common term (more than ``COMMON`` of the examples have it) the largest
+    weight in each block of ``BLOCK`` examples is kept, and the bound of an
+    example is its rare part and the least of two bounds of its common part:
+    the sum of the query's weights times the block's largest, and the product
+    of both common parts' lengths. Examples are opened from the largest bound
+    on, several at once, and their common part is added exactly, until no
+    bound reaches the worst neighbour held; so the neighbours are exact.
+    Equal cosines go to the smaller example number, which the label has no
+    part in. Terms from ``words_from`` on are the words: within a vector they
+    keep their TF-IDF proportions, and together they are as long as the term
+    ANY. So a few telling terms aren't lost in a long text, and no two
+    different texts are as close as copies.
     """
 
     def __init__(self, vectors: list, labels: list[int], weights: list[float], keys: list, n_terms: int, words_from: int | None = None) -> None:
         total, self.words_from = len(vectors), n_terms if words_from is None else words_from
-        df = np.ones(n_terms)
+        df = np.zeros(n_terms, np.int64)
         for v in vectors:
             df[list(v) if isinstance(v, dict) else v[0]] += 1
-        self.idf = np.append(np.log1p(total / df), np.log1p(total))  # the last is of UNSEEN
+        self.idf = np.append(np.log1p(total / (1 + df)), np.log1p(total))  # the last is of UNSEEN
         unit = [self.unit(v) for v in vectors]
-        order = sorted(range(total), key=lambda k: (int(unit[k][0][np.argmax(unit[k][1])]) if len(unit[k][0]) else -1, k))
+        single = [self._singles(v) for v in vectors]
+        often = df > COMMON * total
+
+        def alike(k: int) -> tuple:
+            """Examples with the same heaviest common terms stand together, which makes the bounds of blocks tight."""
+            t, w = unit[k]
+            mine = np.flatnonzero(often[t] & (t != ANY))
+            return (*t[mine[np.argsort(-w[mine], kind="stable")[:4]]].tolist(), k)
+
+        order = sorted(range(total), key=alike)
         self.labels = np.array([labels[k] for k in order], float)
         self.weights = np.array([weights[k] for k in order], float)
         self.keys, self.order = [keys[k] for k in order], order
-        self.blocks = -(-total // BLOCK)
         sizes = [len(unit[k][0]) for k in order]
-        t = np.concatenate([unit[k][0] for k in order]) if total else np.empty(0, np.int64)
+        t = np.concatenate([unit[k][0] for k in order]).astype(np.int32) if total else np.empty(0, np.int32)
         w = np.concatenate([unit[k][1] for k in order]) if total else np.empty(0)
         n = np.repeat(np.arange(total, dtype=np.int32), sizes)
-        by_term = np.argsort(t, kind="stable")
-        t, self.example, self.value = t[by_term], n[by_term], w[by_term]
-        cell = t * max(1, self.blocks) + self.example // BLOCK
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.bounds = np.append(first, len(cell)).astype(np.int32)
-        self.block = (cell[first] % max(1, self.blocks)).astype(np.int32)
-        self.top = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0)
-        self.cells = np.searchsorted(t[first], np.arange(n_terms + 1)).astype(np.int32)
-        self.posts = self.bounds[self.cells]
-        # terms of many examples also as whole rows
-        often = np.flatnonzero(np.diff(self.posts) > FREQUENT * max(1, total))
-        self.row = {int(a): k for k, a in enumerate(often)}
-        self.rows = np.zeros((len(often), total))
-        for a, k in self.row.items():
-            own = slice(self.posts[a], self.posts[a + 1])
-            self.rows[k, self.example[own]] = self.value[own]
-
-    def cosines(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Cosines of all examples, term by term."""
-        got, part = np.zeros(len(self.labels)), np.empty(len(self.labels))
-        for a, weight, s, e in zip(t.tolist(), w.tolist(), self.posts[t].tolist(), self.posts[t + 1].tolist(), strict=True):
-            k = self.row.get(a)
-            if k is None:
-                got[self.example[s:e]] += weight * self.value[s:e]
-            else:
-                got += np.multiply(self.rows[k], weight, out=part)
-        return got
+        self.common = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        here = often[t]
+        # common terms by example, with the largest weight of each block
+        self.own_term, self.own_value = self.common[t[here]], w[here]
+        self.own = np.searchsorted(n[here], np.arange(total + 1))
+        self.blocks = -(-total // BLOCK)
+        self.dense = None
+        self.top = np.zeros((self.blocks, int(often.sum())), np.float32)
+        np.maximum.at(self.top, (n[here] // BLOCK, self.own_term), self.own_value.astype(np.float32))
+        self.length = np.sqrt(np.bincount(n[here], self.own_value**2, total))
+        # rare terms by term. A word that stands once in its text weighs its idf times a factor of the text, so such postings need no weight
+        once = np.concatenate([single[k] for k in order]) & ~here if total else np.empty(0, bool)
+        self.factor = np.zeros(total)
+        self.factor[n[once]] = w[once] / self.idf[t[once]]
+        by_term = np.flatnonzero(once)[np.argsort(t[once], kind="stable")]
+        self.once, self.once_posts = n[by_term].astype(np.int64), np.searchsorted(t[by_term], np.arange(n_terms + 1))
+        rest = np.flatnonzero(~once & ~here)
+        by_term = rest[np.argsort(t[rest], kind="stable")]
+        self.example, self.value = n[by_term], w[by_term]
+        self.posts = np.searchsorted(t[by_term], np.arange(n_terms + 1))
+
+    def _singles(self, vector) -> np.ndarray:
+        """Which terms of a vector, in the order of ``unit``, are words that stand once."""
+        t, counts = (np.array(sorted(vector), np.int64), np.array([vector[k] for k in sorted(vector)])) if isinstance(vector, dict) else vector
+        return ((t >= self.words_from) & (counts == 1))[t != UNSEEN]
+
+    def rows(self) -> np.ndarray:
+        """The common terms' weights, an example in a row; made where the index is used."""
+        if self.dense is None:
+            self.dense = np.zeros((len(self.labels), self.top.shape[1]))
+            self.dense[np.repeat(np.arange(len(self.labels)), np.diff(self.own)), self.own_term] = self.own_value
+        return self.dense
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None}
 
     def unit(self, vector) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a vector, given as a dictionary of counts or as terms and counts; without the unseen words."""
@@ -152,45 +185,60 @@ class Index:
 
     def nearest(self, vector, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the nearest examples; none for an empty vector."""
-        t, w = self.unit(vector)
-        if not len(t) or not self.blocks:
+        return self.nearest_to(*self.unit(vector), k)
+
+    def nearest_to(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        total = len(self.labels)
+        if not len(t) or not total:
             return np.empty(0, np.int64), np.empty(0)
-        if (self.posts[t + 1] - self.posts[t]).sum() > DENSE * len(self.labels):
-            got = np.round(self.cosines(t, w), 12)
-            least = np.partition(got, -k)[-k] if len(got) > k else 0.0
-            n = np.flatnonzero((got >= least) & (got > 0))
-            best = n[np.lexsort((n, -got[n]))[:k]]
-            return best, got[best]
-        cell = _spans(self.cells[t], self.cells[t + 1])
-        weight, block = np.repeat(w, self.cells[t + 1] - self.cells[t]), self.block[cell]
-        bounds = np.bincount(block, weight * self.top[cell], self.blocks) + 1e-12
-        held, cosines = np.empty(0, np.int64), np.empty(0)
-        order, at, most = np.argsort(-bounds, kind="stable"), 0, OPENED
-        while at < self.blocks and not (len(held) == k and bounds[order[at]] < cosines[-1]):
-            opened = np.zeros(self.blocks, bool)
-            opened[order[at : at + most]] = True
-            at, most = at + most, 2 * most
-            here = opened[block]
-            start, end = self.bounds[cell[here]], self.bounds[cell[here] + 1]
-            post = _spans(start, end)
-            got = np.bincount(self.example[post], np.repeat(weight[here], end - start) * self.value[post], len(self.labels))
-            n = np.flatnonzero(got > 0)
-            both, cos = np.concatenate([held, n]), np.round(np.concatenate([cosines, got[n]]), 12)
-            best = np.lexsort((both, -cos))[:k]
-            held, cosines = both[best], cos[best]
+        at = self.common[t]
+        rare, often = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
+        t_rare, w_rare = t[rare], w[rare]
+        start, end = self.posts[t_rare], self.posts[t_rare + 1]
+        post = _spans(start, end)
+        part = np.bincount(self.example[post], np.repeat(w_rare, end - start) * self.value[post], total)
+        start, end = self.once_posts[t_rare], self.once_posts[t_rare + 1]
+        if (end > start).any():
+            found = self.once.take(_spans(start, end))
+            part = part + self.factor * np.bincount(found, np.repeat(w_rare * self.idf[t_rare], end - start), total)
+        if not len(often):
+            return _best(np.arange(total), np.round(part, 12), k)
+        columns = at[often]
+        query = np.zeros(self.top.shape[1])
+        query[columns] = w[often]
+        by_block = np.repeat(self.top @ query.astype(np.float32), BLOCK)[:total]
+        bound = part + np.minimum(by_block, np.sqrt((w[often] ** 2).sum()) * self.length) + 1e-5  # the bounds of blocks are in single precision
+        held, cosines, opened, most = np.empty(0, np.int64), np.empty(0), 0, OPENED
+        left = np.arange(total)
+        while len(left):
+            if len(left) > most:
+                cut = np.argpartition(bound if len(left) == total else bound[left], len(left) - most)
+                left, now = left[cut[:-most]], left[cut[-most:]]
+            else:
+                now, left = left, left[:0]
+            exact = part[now] + np.einsum("ij,j->i", self.rows().take(now, axis=0), query)
+            held, cosines = _best(np.concatenate([held, now]), np.concatenate([cosines, np.round(exact, 12)]), k)
+            most *= WIDER
+            if len(held) == k:
+                left = left[bound[left] >= cosines[-1]]
         return held, cosines
 
-    def vote(self, vector, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of label 1 among the nearest, weighted by closeness and by how many documents an example stands for. ``without``: an example that has no vote."""
-        if without is None:
-            n, cos = self.nearest(vector)
-        else:
-            n, cos = self.nearest(vector, NEIGHBOURS + 1)
-            n, cos = n[n != without][:NEIGHBOURS], cos[n != without][:NEIGHBOURS]
+    def examples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each example's vector begins, and the terms and weights of all, example by example."""
+        numbers = np.arange(len(self.posts) - 1, dtype=np.int32)
+        term, single = np.repeat(numbers, np.diff(self.posts)), np.repeat(numbers, np.diff(self.once_posts))
+        name = np.flatnonzero(self.common >= 0).astype(np.int32)
+        n = np.concatenate([self.example, self.once.astype(np.int32), np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.own))])
+        order = np.argsort(n, kind="stable")
+        values = np.concatenate([self.value, self.factor[self.once] * self.idf[single], self.own_value])
+        return np.searchsorted(n[order], np.arange(len(self.labels) + 1)), np.concatenate([term, single, name[self.own_term]])[order], values[order]
+
+    def vote(self, n: np.ndarray, cosines: np.ndarray) -> float:
+        """The share of label 1 among neighbours, weighted by closeness and by how many documents an example stands for; -1 without neighbours."""
         if not len(n):
-            return -1.0, n, cos
-        w = self.weights[n] / (1.02 - np.minimum(cos, 1.0))
-        return float((w * self.labels[n]).sum() / w.sum()), n, cos
+            return -1.0
+        w = self.weights[n] / (1.02 - np.minimum(cosines, 1.0))
+        return float((w * self.labels[n]).sum() / w.sum())
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +255,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Built once, by the driver; a worker gets the finished index and calibration."""
+    """Terms, words and the index; built once, by the driver. A worker gets the finished index."""
 
     def __init__(self, learned: dict) -> None:
         self.names, self.words = learned["terms"], learned["words"]
@@ -217,40 +265,47 @@ class Model:
         self.prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         share = [totals[r[1]] / sampled[r[1]] for r in rows]
         self.index = Index([r[2] for r in rows], [r[1] for r in rows], share, [r[0] for r in rows], 1 + len(self.names) + len(self.words), 1 + len(self.names))
-        # each example is scored by the others
-        votes = np.array([self.index.vote(rows[k][2], n)[0] for n, k in enumerate(self.index.order)])
-        at = votes >= 0
-        self.at, self.level = isotonic(votes[at], self.index.labels[at], self.index.weights[at]) if at.any() else (np.empty(0), np.empty(0))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "number", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "known", "met")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.terms, self.known = Terms(self.names), {}
-        self.number = {w: k for k, w in enumerate(self.words.to_pylist(), start=1 + len(self.names))}
+        self.terms, self.known, self.met = Terms(self.names), {}, {}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         low = text.lower()
         words = Counter(TOKEN.findall(low))
         terms = sorted(self.terms.count(low, words).items())
-        numbers = np.fromiter((self.number.get(w, UNSEEN) for w in words), np.int64, len(words))
-        counts = np.fromiter(words.values(), float, len(words))
-        order = np.argsort(numbers, kind="stable")  # equal vectors are summed alike
+        numbers, counts = self.numbers(words), np.fromiter(words.values(), float, len(words))
+        order = np.lexsort((counts, numbers))  # equal vectors are summed alike
         return np.concatenate([np.array([k for k, _ in terms], np.int64), numbers[order]]), np.concatenate([np.array([n for _, n in terms], float), counts[order]])
 
-    def score(self, text: str) -> tuple[float, list]:
-        vector = self.vector(text)
-        key = hashlib.blake2b(vector[0].tobytes() + vector[1].tobytes(), digest_size=16).digest()
+    def numbers(self, words) -> np.ndarray:
+        """The numbers of words; those met before are kept, up to ``KEPT_WORDS``."""
+        fresh = [w for w in words if w not in self.met]
+        if fresh:
+            hashes = np.fromiter(map(hashed, fresh), np.uint64, len(fresh))
+            at = np.searchsorted(self.words, hashes)
+            known = self.words[np.minimum(at, len(self.words) - 1)] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+            if len(self.met) + len(fresh) > KEPT_WORDS:
+                self.met.clear()
+                return self.numbers(words) if len(fresh) < len(words) else np.where(known, at + 1 + len(self.names), UNSEEN)
+            self.met.update(zip(fresh, np.where(known, at + 1 + len(self.names), UNSEEN).tolist(), strict=True))
+        return np.fromiter(map(self.met.__getitem__, words), np.int64, len(words))
+
+    def score(self, text: str, at: np.ndarray, level: np.ndarray) -> tuple[float, list]:
+        key = xxhash.xxh3_128_digest(text.encode())
         if key not in self.known:
             if len(self.known) > 8_000:
                 self.known.clear()
-            vote, n, cos = self.index.vote(vector)
+            n, cos = self.index.nearest(self.vector(text))
+            vote = self.index.vote(n, cos)
             if vote < 0:
                 score = self.prior
-            elif len(self.at):
+            elif len(at):
                 # the level of the vote's step, and a little of the vote, which keeps the order within a step
-                score = 0.98 * float(self.level[max(0, int(np.searchsorted(self.at, vote, side="right")) - 1)]) + 0.02 * vote
+                score = 0.98 * float(level[max(0, int(np.searchsorted(at, vote, side="right")) - 1)]) + 0.02 * vote
             else:
                 score = vote
             evidence = [{"doc_id": self.index.keys[a], "cosine": float(c), "toxic": int(self.index.labels[a])} for a, c in zip(n[:EVIDENCE].tolist(), cos[:EVIDENCE].tolist(), strict=True)]
@@ -258,6 +313,29 @@ class Model:
         return self.known[key]
 
 
+def _calibrated(spark, model: Model, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic steps over the examples' votes, each found by the others; tasks score stretches of the examples."""
+    total = len(model.index.labels)
+    if not total:
+        return np.empty(0), np.empty(0)
+
+    def votes(batches):
+        index = shared.value.index
+        start, terms, weights = index.examples()
+        for b in batches:
+            out, numbers = [], b.column("id").to_pylist()
+            for k in numbers:
+                own = slice(start[k], start[k + 1])
+                n, cos = index.nearest_to(terms[own], weights[own], NEIGHBOURS + 1)
+                out.append(index.vote(n[n != k][:NEIGHBOURS], cos[n != k][:NEIGHBOURS]))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(out, pa.float64())], names=["id", "vote"])
+
+    found = spark.range(0, total, 1, max(1, min(spark.sparkContext.defaultParallelism, total // 256))).mapInArrow(votes, "id bigint, vote double").toArrow().sort_by("id")
+    votes_ = found.column("vote").to_numpy()
+    at = votes_ >= 0
+    return isotonic(votes_[at], model.index.labels[at], model.index.weights[at]) if at.any() else (np.empty(0), np.empty(0))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
     """What a model needs, from a bounded sample of labelled documents that aren't held out.
 
@@ -266,8 +344,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     Of each label the ``SAMPLED`` documents with the smallest hashes of their
     doc_id are indexed; they also calibrate, each scored by the others. Terms
     are words and starts of words that the rows of label 1 have markedly more
-    often; the vectors hold these and all words. Only this sample's ids, words
-    and their counts reach the driver.
+    often; the vectors hold these and all words. Only this sample's ids and the
+    hashes and counts of its words reach the driver.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -291,17 +369,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         terms = [r["feature"] for r in good.orderBy(F.desc("chi"), "feature").select("feature").collect()]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(terms)
-    vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, terms array<int>, counts array<int>, words array<string>, word_counts array<int>").toArrow()
-    vectors = vectors.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, terms array<int>, counts array<int>, words array<bigint>, word_counts array<int>, text_hash bigint").toArrow()
+    vectors = vectors.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")]).combine_chunks()
     lists = {n: _flat(vectors.column(n)) for n in ("terms", "counts", "words", "word_counts")}
-    words = pc.unique(lists["words"][1]).sort()
-    numbers = 1 + len(terms) + pc.index_in(lists["words"][1], words).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, numbers = np.unique(lists["words"][1].to_numpy().view(np.uint64), return_inverse=True)
+    numbers = (numbers + 1 + len(terms)).astype(np.int32)
+    term, count, word_count = (lists[n][1].to_numpy() for n in ("terms", "counts", "word_counts"))
     picks = []
     for k in range(vectors.num_rows):
         t, w = (slice(*lists[n][0][k : k + 2]) for n in ("terms", "words"))
-        own = np.argsort(numbers[w], kind="stable")
-        counts = np.concatenate([lists["counts"][1].to_numpy()[t], lists["word_counts"][1].to_numpy()[w][own]]).astype(float)
-        picks.append((np.concatenate([lists["terms"][1].to_numpy()[t], numbers[w][own]]).astype(np.int64), counts))
+        own = np.lexsort((word_count[w], numbers[w]))
+        picks.append((np.concatenate([term[t], numbers[w][own]]), np.concatenate([count[t], word_count[w][own]])))
     found = zip(vectors.column("doc_id").to_pylist(), vectors.column("toxic").to_pylist(), picks, strict=True)
     return {"terms": terms, "words": words, "totals": totals, "rows": list(found)}
 
@@ -327,9 +405,11 @@ def _vectors(batches, shared):
         low = [t.lower() for t in b.column("text").to_pylist()]
         words = [Counter(TOKEN.findall(t)) for t in low]
         found = [sorted(terms.count(t, w).items()) for t, w in zip(low, words, strict=True)]
-        ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
-        columns = [b.column("doc_id"), b.column("toxic"), pa.array([[k for k, _ in v] for v in found], ints), pa.array([[n for _, n in v] for v in found], ints), pa.array([list(v) for v in words], strings), pa.array([list(v.values()) for v in words], ints)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "terms", "counts", "words", "word_counts"])
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        hashes = [np.fromiter(map(hashed, v), np.uint64, len(v)).view(np.int64) for v in words]
+        texts = np.array([hashed(t) for t in low], np.uint64).view(np.int64)
+        columns = [b.column("doc_id"), b.column("toxic"), pa.array([[k for k, _ in v] for v in found], ints), pa.array([[n for _, n in v] for v in found], ints), pa.array(hashes, longs), pa.array([list(v.values()) for v in words], ints), pa.array(texts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "terms", "counts", "words", "word_counts", "text_hash"])
 
 
 def scored(docs: DataFrame, text: Column, learned: dict) -> Column:
@@ -340,14 +420,16 @@ def scored(docs: DataFrame, text: Column, learned: dict) -> Column:
     without words, has no neighbours: its score is the share of label 1 among
     all labelled documents. Without labels every score is that prior, 0.5.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(Model(learned)), uuid.uuid4().hex
+    spark, model, name = docs.sparkSession, Model(learned), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(model)
+    at, level = _calibrated(spark, model, shared)
     proof = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     @F.arrow_udf("score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     def score(texts: pa.Array) -> pa.Array:
         model, out = engine(("toxicity", name), lambda: shared.value), []
-        for at in range(0, len(texts), 1024):
-            out += [model.score(t or "") for t in texts[at : at + 1024].to_pylist()]
+        for first in range(0, len(texts), 1024):
+            out += [model.score(t or "", at, level) for t in texts[first : first + 1024].to_pylist()]
         return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], proof)], names=["score", "evidence"])
 
     return score.asNondeterministic()(text)
