@@ -18,6 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +62,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), 2048, 0).drop("ids")
 
 
+def vocabularies() -> tuple[str, str, str]:
+    return public_tokenizers.path(PIECES), public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", quality.judged(F.col("text"), public_tokenizers.path(PIECES)).alias("q")).select("doc_id", "q.*")
+    return docs.select("doc_id", quality.judged(F.col("text"), *vocabularies()).alias("q")).select("doc_id", "q.*")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
