@@ -72,14 +72,18 @@ def test_packing(spark, documents):
 
 
 def test_quality(spark, documents):
-    from tests.llm.test_small import brute_quality
+    from tests.llm.test_small import brute_fertility, brute_quality, brute_script
+    from warraq.llm import quality
 
     rows = queries.op6_quality_rules(spark, oracle.DATA).collect()
     assert len(rows) == len(documents)
     for r in rows:
         want = brute_quality(documents[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
-        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.kept and r.base_failed)
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        figures, name = brute_fertility(documents[r.doc_id] or ""), brute_script(documents[r.doc_id] or "")
+        assert r.script == name and np.allclose([r[f] for f in quality.FIGURES], figures)
+        assert r.kept == (not r.base_failed and quality.within(name, figures))
 
 
 def test_lengths(spark, documents):
