@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from warraq.llm import jaccard, packing, quality, toxicity
 from warraq.llm.common import scratch_path, small_batches, table
-from warraq.llm.queries import PIECES, TOXIC_FROM, WORDS
+from warraq.llm.queries import TOXIC_FROM, WORDS, vocabularies
 
 #: No SQL: the quality bands, the score and the packing depend on tokenizers and a trained model.
 ORACLE_SQL = None
@@ -30,7 +30,7 @@ def _kept(docs: DataFrame, condition) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. A null text goes."""
-    return _kept(docs, quality.judged(F.col("text"), public_tokenizers.path(PIECES))["kept"])
+    return _kept(docs, quality.judged(F.col("text"), *vocabularies())["kept"])
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +40,13 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest doc_id; of rows with an equal doc_id one; all rows without doc_id."""
-    found = jaccard.near_duplicates(docs, 75, 5)
+    """Of linked documents the one with the smallest doc_id; of rows with an equal doc_id the smallest by text, then by the other columns; all rows without doc_id."""
+    found = jaccard.near_duplicates(docs, 75, 5, count_links=False)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, docs["doc_id"].cast("bigint") == stay["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    named = docs.join(stay, docs["doc_id"].cast("bigint") == stay["doc_id"], "left_semi")
+    others = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    first = named.groupBy("doc_id").agg(F.min(F.struct(*(F.col(c) for c in others))).alias("first")).select("doc_id", "first.*")
+    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
