@@ -183,15 +183,18 @@ def form_feature(form: Column) -> Column:
 
 
 def arabic_runs(t: Column) -> Column:
-    """Maximal stretches that joining can cross."""
-    types = joining_types(t)
-    starts = F.filter(F.sequence(F.lit(1), F.length(t)), lambda i: (F.substring(types, i, F.lit(1)) != "U") & ((i == 1) | (F.substring(types, i - 1, F.lit(1)) == "U")))
+    """Maximal stretches that joining can cross. Texts are cut at the ends of stretches only."""
 
-    def run(i: Column) -> Column:
-        length = F.length(F.regexp_extract(F.substring(types, i, F.length(types)), "^[^U]+", 0))
-        return F.struct(byte_offset(t, i).alias("offset"), F.substring(t, i, length).alias("run"))
+    def found(parts: Column) -> Column:
+        def run(i: Column) -> Column:
+            ahead = F.length(F.array_join(F.slice(parts, F.lit(1), i), ""))
+            return F.struct(byte_offset(t, ahead + 1).alias("offset"), F.substring(t, ahead + 1, F.length(F.get(parts, i))).alias("run"))
 
-    return F.when(F.length(t) > 0, F.transform(starts, run)).otherwise(F.array().cast("array<struct<offset:int,run:string>>"))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.get(parts, i).startswith("U")), run)
+
+    types = joining_types(t)
+    cut = F.filter(F.split(types, "(?<=U)(?!U)|(?<!U)(?=U)"), lambda x: x != "")
+    return F.when(types.rlike("[^U]"), let(cut, found)).otherwise(F.array().cast("array<struct<offset:int,run:string>>"))
 
 
 def char_name(c: Column) -> Column:
@@ -258,6 +261,23 @@ def is_true(value: Column) -> Column:
 
 
 def delete_at(t: Column, offsets: Column) -> Column:
-    """A text without the characters that begin at these byte offsets."""
-    keep = F.filter(F.sequence(F.lit(1), F.length(t)), lambda i: ~F.array_contains(offsets, byte_offset(t, i)))
-    return F.when((F.size(offsets) > 0) & (F.length(t) > 0), F.array_join(F.transform(keep, lambda i: F.substring(t, i, F.lit(1))), "")).otherwise(t)
+    """A text without the characters that begin at these byte offsets; it is cut there alone."""
+    data = F.encode(t, "UTF-8")
+
+    def lead(d: Column, at: Column) -> Column:
+        return F.conv(F.hex(F.substring(d, at + 1, F.lit(1))), 16, 10).cast("int")
+
+    def without(each: Column) -> Column:
+        d, at = each["d"], each["at"]
+        size = lambda o: F.when(lead(d, o) < 0x80, 1).when(lead(d, o) < 0xE0, 2).when(lead(d, o) < 0xF0, 3).otherwise(4)
+        starts = F.concat(F.array(F.lit(0)), F.transform(at, lambda o: o + size(o)))
+        ends = F.concat(at, F.array(F.octet_length(d)))
+        return F.array_join(F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(d, a + 1, b - a), "UTF-8")), "")
+
+    def sound(each: Column) -> Column:
+        d = each["d"]
+        at = F.filter(each["at"], lambda o: (o >= 0) & (o < F.octet_length(d)) & ~F.coalesce(lead(d, o).between(0x80, 0xBF), F.lit(True)))
+        return let(F.struct(d.alias("d"), F.array_sort(F.array_distinct(at)).alias("at")), without)
+
+    given = F.struct(data.alias("d"), offsets.cast("array<int>").alias("at"))
+    return F.when((F.size(offsets) > 0) & (F.length(t) > 0), let(given, sound)).otherwise(t)

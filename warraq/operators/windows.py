@@ -10,10 +10,11 @@ from ..functions import unicode as u
 
 
 def characters(units: DataFrame, key: str = "unit_id", text: str = "text") -> DataFrame:
-    """(key, pos, ch, offset, joining): one row per character."""
-    types = t.joining_types(F.col(text))
-    pos = F.posexplode(t.chars(F.col(text))).alias("pos", "ch")
-    return units.select(key, text, pos).select(key, "pos", "ch", t.byte_offset(F.col(text), F.col("pos") + 1).alias("offset"), F.substring(types, F.col("pos") + 1, F.lit(1)).alias("joining"))
+    """(key, pos, ch, offset, joining): one row per character; each text is cut once, and offsets are running sums."""
+    both = F.arrays_zip(t.chars(F.col(text)).alias("ch"), t.chars(t.joining_types(F.col(text))).alias("joining"))
+    each = units.select(key, F.posexplode(both).alias("pos", "e")).select(key, "pos", "e.ch", "e.joining")
+    ahead = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(key, "pos", "ch", F.coalesce(F.sum(F.octet_length("ch")).over(ahead), F.lit(0)).cast("int").alias("offset"), "joining")
 
 
 def tatweel_runs(chars: DataFrame, key: str = "unit_id") -> DataFrame:

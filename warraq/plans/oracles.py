@@ -39,7 +39,9 @@ OFF = "strlen(substr(text, 1, i - 1))"
 HEX = "upper(case when unicode(c) < 65536 then lpad(to_hex(unicode(c)), 4, '0') else to_hex(unicode(c)) end)"
 TYPES = f"translate(regexp_replace(regexp_replace(text, '{u.UNSTATED}', chr(1), 'g'), '[^\\x{{0600}}-\\x{{06FF}}\\x{{200D}}\\x01]', 'U', 'g'), {lit(''.join(_T) + chr(0x200D))} || chr(1), '{''.join(_T.values())}CX')"
 #: One row per character with its joining type.
-CHARS = f"chars as (select ord, text, i, {OFF} as off, substr(text, i, 1) as c, substr({TYPES}, i, 1) as k from units, unnest({POS}) as x(i))"
+CHARS = f"""pos as (
+  select ord, unnest({CH}) as c, unnest(string_split({TYPES}, '')) as k, unnest({POS}) as i from units
+), chars as (select ord, i, c, k, coalesce(sum(strlen(c)) over (partition by ord order by i rows between unbounded preceding and 1 preceding), 0)::bigint as off from pos)"""
 VERDICT = "case when coalesce(nxt, '') = 'T' then 'carrier' when n >= 2 and (coalesce(bef, '') in ('D','L','C','K') or coalesce(nxt, '') in ('D','R','C','K')) then 'stretched' when n >= 2 then 'standalone' when coalesce(bef, '') in ('D','L','C','K') and coalesce(nxt, '') in ('D','R','C','K') then 'wedged' else 'displayed' end"
 RUNS = f"""{CHARS}, isl as (
   select *, i - row_number() over (partition by ord order by i) as g from chars where k = 'K'
@@ -166,7 +168,7 @@ SQL["a12_cascade_argmax"] = "select element, property, value from (select l_orde
 SQL["a13_family_winner"] = "select folded, path from (select lower(trim(p_brand)) as folded, p_partkey::varchar as path, row_number() over (partition by lower(trim(p_brand)) order by p_size % 2, p_size % 7, p_partkey) as n from part) where n = 1"
 SQL["a15_derived_formats"] = "select doc_id, base, alignment, reading_order, (10 + dense_rank() over (partition by doc_id order by f) - 1)::int as new_index from (select l_orderkey % 20 as doc_id, l_partkey % 4 as base, l_returnflag as alignment, l_linestatus as reading_order, min(l_orderkey * 8 + l_linenumber) as f from lineitem group by 1, 2, 3, 4)"
 SQL["a16_unread_list"] = "select (user_id % 40)::varchar as doc_id, string_agg(distinct event_type, ',' order by event_type) as unread from events group by 1"
-SQL["j01_shared_strings"] = "select l_orderkey % 10 as doc_id, l_orderkey * 8 + l_linenumber as cell, p_name as text from lineitem join part on p_partkey = l_partkey and p_partkey % 10 = l_orderkey % 10 where p_partkey % 3 <> 0"
+SQL["j01_shared_strings"] = "select l_orderkey % 10 as doc_id, l_orderkey * 8 + l_linenumber as cell, p_name as text from lineitem join part on p_partkey + 50 = l_partkey and p_partkey % 10 = l_orderkey % 10"
 SQL["j02_cell_formats"] = """with xf as (select id % 10 as doc_id, id // 10 as s, (id // 10) % 3 as style, case when id % 4 <> 0 then id % 5 end as font, case when id % 3 = 0 then 'right' end as h, case when id % 7 = 0 then '2' end as r, id % 6 <> 0 as af, id % 9 <> 0 as aa from range(120) t(id)),
     st as (select id % 10 as doc_id, id // 10 as style, id % 5 as font, case when id % 2 = 0 and id % 5 <> 0 then 'center' end as h, case when id % 5 <> 0 then '1' end as r from range(30) t(id)), fo as (select id % 10 as doc_id, id // 10 as font, 'Font ' || id as name from range(40) t(id)),
     c as (select l_orderkey % 10 as doc_id, l_orderkey * 8 + l_linenumber as cell, l_partkey % 12 as s from lineitem)
@@ -180,13 +182,13 @@ _PARENT = "parent as (select c_custkey as child, case when c_custkey % 50 = 7 th
 SQL["j07_08_ancestors"] = f"with recursive {_PARENT} select child, ancestor, hop from up"
 SQL["j09_nearest_stated"] = f"with recursive {_PARENT} select child, arg_min(d, hop) filter (where d is not null) as direction, arg_min(f, hop) filter (where f is not null) as font from (select u.*, case when c_custkey % 3 = 0 then c_mktsegment end as d, case when c_custkey % 5 = 0 then c_name end as f from up u left join customer on c_custkey = ancestor) group by child"
 SQL["j10_theme_typeface"] = "select p_partkey as run, nullif(face, '') as typeface from part left join (select id % 5 as d, case when (id // 5) % 2 = 0 then 'major' else 'minor' end as font, case when id // 10 = 0 then 'cs' else 'latin' end as script, case when id % 4 = 0 then '' else 'Face' || id end as face from range(20) t(id)) th on th.d = p_size % 5 and th.font = case when p_partkey % 2 = 0 then 'major' else 'minor' end and th.script = case when p_partkey % 3 = 0 then 'cs' else 'latin' end"
-SQL["j11_repair_locations"] = "select o_orderkey as repair, coalesce(c_name, o_custkey::varchar) as place from orders left join customer on c_custkey = o_custkey and c_custkey % 2 = 0 and c_custkey % 9 = o_orderkey % 9"
-SQL["j12_unknown_parts"] = "select distinct l_orderkey % 10 as doc_id, l_partkey as part from lineitem where not exists (select 1 from part where p_partkey = l_partkey and p_partkey % 10 = l_orderkey % 10 and p_size > 20)"
+SQL["j11_repair_locations"] = "select o_orderkey as repair, coalesce(c_name, o_custkey::varchar) as place from orders left join customer on c_custkey + 25 = o_custkey and c_custkey % 9 = o_orderkey % 9"
+SQL["j12_unknown_parts"] = "select distinct l_orderkey % 10 as doc_id, l_partkey as part from lineitem where not exists (select 1 from part where p_partkey + 30 = l_partkey and p_partkey % 10 = l_orderkey % 10)"
 _PLAN = f"(select doc_id::varchar as doc_id, {un._case('doc_id % 4', ['pptx', 'docx', 'xlsx', 'html'])} as format, {un._case('cast(floor(doc_id / 4) as bigint) % 8', q.KINDS)} as kind from documents)"
 _ABLE = "(values " + ", ".join(f"('{f}', '{k}')" for f, ks in repair.SUPPORTED.items() for k in ks) + ")"
 SQL["j13_supported_semi"] = f"select doc_id, kind from {_PLAN} where (format, kind) in {_ABLE}"
 SQL["j13_unsupported_anti"] = f"select doc_id, kind from {_PLAN} where (format, kind) not in {_ABLE}"
-SQL["j14_before_after"] = """with b as (select user_id % 100 as doc_id, event_type as rule, count(*) as n from events where event_id % 3 <> 0 group by 1, 2), e as (select user_id % 100 as doc_id, event_type as rule, count(*) as n from events where event_id % 5 = 0 and user_id % 100 < 60 group by 1, 2)
+SQL["j14_before_after"] = """with b as (select user_id % 100 as doc_id, event_type as rule, count(*) as n from events group by 1, 2), e as (select user_id % 100 + 40 as doc_id, event_type || case when event_id % 5 = 0 then '!' else '' end as rule, count(*) as n from events group by 1, 2)
     select coalesce(b.doc_id, e.doc_id) as doc_id, 'u' as unit_id, coalesce(b.rule, e.rule) as rule, coalesce(b.n, 0) as before, coalesce(e.n, 0) as after, case when e.n is null then 'fixed' when b.n is null then 'new' else 'kept' end as change from b full join e on e.doc_id = b.doc_id and e.rule = b.rule"""
 SQL["j15_span_containment"] = "select l_suppkey as k, l_orderkey * 8 + l_linenumber as hit, l_orderkey % 500 as pos from lineitem join supplier on s_suppkey = l_suppkey where l_orderkey % 500 >= s_nationkey * 11 and l_orderkey % 500 < s_nationkey * 11 + 40"
 SQL["j18_newest_entry"] = "select user_id as object, min(event_id) as section, arg_min(event_type, event_id) as event_type from events group by user_id"

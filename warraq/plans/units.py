@@ -54,12 +54,16 @@ def _third(expr: str, order=("explicit", "inherited", "unset")) -> str:
     return _case(f"{expr} % 3", order)
 
 
+#: Characters of a document that stand before its phrase.
+_CUT = "cast(case doc_id % 3 when 0 then 0 when 1 then floor(length(coalesce(text, '')) / 2) else length(coalesce(text, '')) end as int)"
+_GAP = "case when {} then ' ' else '' end"
 #: Columns of a unit as expressions over ``documents`` that Spark and DuckDB read alike.
 FLAT = {
     "doc_id": "cast(doc_id as varchar(20))",
     "ord": "doc_id",
     "kind": _case("doc_id % 8", ["paragraph"] * 5 + ["table", "columns", "chart_text"]),
-    "text": f"concat({_case(f'doc_id % {len(PHRASES)}', PHRASES)}, case when doc_id % 5 = 0 then concat(' ', substr(text, 1, 12)) else '' end)",
+    # the whole text of every document, with a phrase before, behind or in the middle of it
+    "text": f"concat(substr(coalesce(text, ''), 1, {_CUT}), {_GAP.format('doc_id % 3 > 0')}, {_case(f'doc_id % {len(PHRASES)}', PHRASES)}, {_GAP.format('doc_id % 3 < 2')}, substr(coalesce(text, ''), 1 + {_CUT}))",
     **_resolved("direction", _third("doc_id"), "case when floor(doc_id / 3) % 2 = 0 then 'rtl' else 'ltr' end"),
     **_resolved("alignment", _third("cast(floor(doc_id / 2) as bigint)", ("unset", "explicit", "inherited")), _case("cast(floor(doc_id / 3) as bigint) % 4", ["left", "start", "right", "center"])),
     **_resolved("inset", _third("cast(floor(doc_id / 5) as bigint)", ("inherited", "unset", "explicit")), _case("cast(floor(doc_id / 7) as bigint) % 4", ["left", "start", "end", "right"])),
@@ -80,7 +84,7 @@ def flat_sql(table: str = "documents") -> str:
 
 
 def units_from_documents(documents: DataFrame) -> DataFrame:
-    """One unit per document with injected Arabic; needs doc_id and text."""
+    """One unit per document: its whole text with injected Arabic; needs doc_id and text."""
     flat = documents.select(*(F.expr(e).alias(n) for n, e in FLAT.items()))
     origin = lambda name: F.when(F.col(f"{name}_state") == "inherited", F.struct(F.lit("styles").alias("part"), F.lit(name).alias("property")))
     resolved = [F.struct(F.col(f"{n}_state").alias("state"), F.col(f"{n}_value").alias("value"), origin(n).alias("origin")).alias(n) for n in PROPERTIES]
