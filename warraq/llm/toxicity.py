@@ -23,11 +23,11 @@ LEAST_CHI, LEAST_LIFT = 6.0, 3.0
 NEIGHBOURS, BLOCK, EVIDENCE = 24, 4, 3
 #: Examples opened at first; each further opening takes so many times as many.
 OPENED, WIDER = 48, 16
+#: Texts that are scored together; it bounds memory only.
+TOGETHER = 256
 #: A term that more than this share of the examples has is common.
 COMMON = 0.06
 PREFIXES = range(3, 8)
-#: Words whose numbers a worker keeps; it bounds memory, never a result.
-KEPT_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\w+")
 #: The term that is counted at each word; every example with words has it.
@@ -216,7 +216,7 @@ class Index:
                 left, now = left[cut[:-most]], left[cut[-most:]]
             else:
                 now, left = left, left[:0]
-            exact = part[now] + np.einsum("ij,j->i", self.rows().take(now, axis=0), query)
+            exact = part[now] + self.rows().take(now, axis=0) @ query
             held, cosines = _best(np.concatenate([held, now]), np.concatenate([cosines, np.round(exact, 12)]), k)
             most *= WIDER
             if len(held) == k:
@@ -267,39 +267,33 @@ class Model:
         self.index = Index([r[2] for r in rows], [r[1] for r in rows], share, [r[0] for r in rows], 1 + len(self.names) + len(self.words), 1 + len(self.names))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "known", "met")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "known")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.terms, self.known, self.met = Terms(self.names), {}, {}
+        self.terms, self.known = Terms(self.names), {}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         low = text.lower()
         words = Counter(TOKEN.findall(low))
         terms = sorted(self.terms.count(low, words).items())
-        numbers, counts = self.numbers(words), np.fromiter(words.values(), float, len(words))
-        order = np.lexsort((counts, numbers))  # equal vectors are summed alike
-        return np.concatenate([np.array([k for k, _ in terms], np.int64), numbers[order]]), np.concatenate([np.array([n for _, n in terms], float), counts[order]])
-
-    def numbers(self, words) -> np.ndarray:
-        """The numbers of words; those met before are kept, up to ``KEPT_WORDS``."""
-        fresh = [w for w in words if w not in self.met]
-        if fresh:
-            hashes = np.fromiter(map(hashed, fresh), np.uint64, len(fresh))
-            at = np.searchsorted(self.words, hashes)
-            known = self.words[np.minimum(at, len(self.words) - 1)] == hashes if len(self.words) else np.zeros(len(hashes), bool)
-            if len(self.met) + len(fresh) > KEPT_WORDS:
-                self.met.clear()
-                return self.numbers(words) if len(fresh) < len(words) else np.where(known, at + 1 + len(self.names), UNSEEN)
-            self.met.update(zip(fresh, np.where(known, at + 1 + len(self.names), UNSEEN).tolist(), strict=True))
-        return np.fromiter(map(self.met.__getitem__, words), np.int64, len(words))
-
-    def score(self, text: str, at: np.ndarray, level: np.ndarray) -> tuple[float, list]:
-        key = xxhash.xxh3_128_digest(text.encode())
-        if key not in self.known:
-            if len(self.known) > 8_000:
-                self.known.clear()
-            n, cos = self.index.nearest(self.vector(text))
+        hashes = np.fromiter(map(hashed, words), np.uint64, len(words))
+        order = np.argsort(hashes)  # sorted keys are found faster, and equal vectors are summed alike
+        hashes, counts = hashes[order], np.fromiter(words.values(), float, len(words))[order]
+        at = np.searchsorted(self.words, hashes)
+        known = self.words.take(at, mode="clip") == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        numbers = np.where(known, at + (1 + len(self.names)), UNSEEN)
+        return np.concatenate([np.array([k for k, _ in terms], np.int64), numbers]), np.concatenate([np.array([n for _, n in terms], float), counts])
+
+    def scores(self, texts: list[str], at: np.ndarray, level: np.ndarray) -> list[tuple[float, list]]:
+        """Score and evidence of each text. All are cut into words before any is searched for, as each half keeps the processor's caches full."""
+        keys = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+        if len(self.known) > 8_000:
+            self.known.clear()
+        fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.known}
+        vectors = {k: self.index.unit(self.vector(t)) for k, t in fresh.items()}
+        for key, unit in vectors.items():
+            n, cos = self.index.nearest_to(*unit)
             vote = self.index.vote(n, cos)
             if vote < 0:
                 score = self.prior
@@ -310,7 +304,7 @@ class Model:
                 score = vote
             evidence = [{"doc_id": self.index.keys[a], "cosine": float(c), "toxic": int(self.index.labels[a])} for a, c in zip(n[:EVIDENCE].tolist(), cos[:EVIDENCE].tolist(), strict=True)]
             self.known[key] = (min(1.0, max(0.0, score)), evidence)
-        return self.known[key]
+        return [self.known[k] for k in keys]
 
 
 def _calibrated(spark, model: Model, shared) -> tuple[np.ndarray, np.ndarray]:
@@ -428,8 +422,8 @@ def scored(docs: DataFrame, text: Column, learned: dict) -> Column:
     @F.arrow_udf("score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     def score(texts: pa.Array) -> pa.Array:
         model, out = engine(("toxicity", name), lambda: shared.value), []
-        for first in range(0, len(texts), 1024):
-            out += [model.score(t or "", at, level) for t in texts[first : first + 1024].to_pylist()]
+        for first in range(0, len(texts), TOGETHER):
+            out += model.scores([t or "" for t in texts[first : first + TOGETHER].to_pylist()], at, level)
         return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], proof)], names=["score", "evidence"])
 
     return score.asNondeterministic()(text)
