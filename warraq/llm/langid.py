@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import engine, held_out
+from .common import engine, held_out, written
 
 #: Bounds of the training sample for each language: documents, and characters of them all. A document longer than ``SHORT_CHARS`` is learned from only where a language has too few others.
 SAMPLE_DOCS, SAMPLE_CHARS, SHORT_CHARS = 48, 24_000, 4_000
@@ -169,17 +169,17 @@ def samples(docs: DataFrame) -> dict[str, str]:
     whole documents and ``SAMPLE_CHARS`` characters: those with the smallest
     hashes of their doc_id, documents over ``SHORT_CHARS`` characters behind
     all others, until the characters are reached; the last document gives as
-    many as are left. Languages are counted first, so that only a bounded
-    number of rows of each takes part in the ranking.
+    many as are left. Rows are ranked without their texts, and each task keeps
+    only its first of each language, so no language's rows meet in one task.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", (F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)).alias("h")).where(F.col("text").rlike(r"\p{L}"))
-    long = (F.length("text") > SHORT_CHARS).alias("long")
-    counts = known.groupBy("lang", long).agg(F.count("*").alias("n"))
-    few = known.withColumn("long", long).join(counts, ["lang", "long"]).where(F.col("h") * F.col("n") < 4.0 * SAMPLE_DOCS)
-    rank = Window.partitionBy("lang").orderBy("long", "h", "text")
-    before = F.coalesce(F.sum(F.length("text")).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = few.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_DOCS).withColumn("before", before)
-    rows = ranked.where(F.col("before") < SAMPLE_CHARS).select("lang", "r", F.expr(f"substring(text, 1, cast({SAMPLE_CHARS} - before as int))").alias("text")).collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).where(F.col("text").rlike(r"\p{L}"))
+    known = known.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("key"))
+    narrow = known.select("lang", "h", "key", F.length("text").cast("bigint").alias("n"), (F.length("text") > SHORT_CHARS).alias("long"))
+    rank = Window.partitionBy("lang").orderBy("long", "h", "key")
+    before = F.coalesce(F.sum("n").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = narrow.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_DOCS)
+    chosen = written(first.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).select("lang", "key", "r", "before"), "language-sample")
+    rows = known.join(chosen, ["lang", "key"]).select("lang", "r", F.expr(f"substring(text, 1, cast({SAMPLE_CHARS} - before as int))").alias("text")).dropDuplicates(["lang", "r"]).collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
         out.setdefault(r["lang"], []).append(r["text"])
