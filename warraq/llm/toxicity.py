@@ -131,8 +131,9 @@ class Index:
         self.weights = np.array([weights[k] for k in order], float)
         self.keys, self.order = [keys[k] for k in order], order
         sizes = [len(unit[k][0]) for k in order]
-        t = np.concatenate([unit[k][0] for k in order]).astype(np.int32) if total else np.empty(0, np.int32)
+        t = np.concatenate([unit[k][0] for k in order], dtype=np.int32, casting="unsafe") if total else np.empty(0, np.int32)
         w = np.concatenate([unit[k][1] for k in order]) if total else np.empty(0)
+        del unit
         n = np.repeat(np.arange(total, dtype=np.int32), sizes)
         self.common = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         here = often[t]
@@ -149,7 +150,7 @@ class Index:
         self.factor = np.zeros(total)
         self.factor[n[once]] = w[once] / self.idf[t[once]]
         by_term = np.flatnonzero(once)[np.argsort(t[once], kind="stable")]
-        self.once, self.once_posts = n[by_term].astype(np.int64), np.searchsorted(t[by_term], np.arange(n_terms + 1))
+        self.once, self.once_posts = n[by_term], np.searchsorted(t[by_term], np.arange(n_terms + 1))
         rest = np.flatnonzero(~once & ~here)
         by_term = rest[np.argsort(t[rest], kind="stable")]
         self.example, self.value = n[by_term], w[by_term]
@@ -365,17 +366,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     shared = spark.sparkContext.broadcast(terms)
     vectors = rows.mapInArrow(lambda batches: _vectors(batches, shared), "doc_id bigint, toxic int, terms array<int>, counts array<int>, words array<bigint>, word_counts array<int>, text_hash bigint").toArrow()
     vectors = vectors.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")]).combine_chunks()
+    doc_ids, toxic = vectors.column("doc_id").to_pylist(), vectors.column("toxic").to_pylist()
     lists = {n: _flat(vectors.column(n)) for n in ("terms", "counts", "words", "word_counts")}
-    words, numbers = np.unique(lists["words"][1].to_numpy().view(np.uint64), return_inverse=True)
-    numbers = (numbers + 1 + len(terms)).astype(np.int32)
+    del vectors  # the driver's memory is the tightest
+    hashes = lists["words"][1].to_numpy().view(np.uint64)
+    words = np.unique(hashes)
+    numbers = np.empty(len(hashes), np.int32)
+    for at in range(0, len(hashes), 1 << 18):
+        numbers[at : at + (1 << 18)] = np.searchsorted(words, hashes[at : at + (1 << 18)]) + 1 + len(terms)
+    del hashes
+    lists["words"] = (lists["words"][0], None)
     term, count, word_count = (lists[n][1].to_numpy() for n in ("terms", "counts", "word_counts"))
     picks = []
-    for k in range(vectors.num_rows):
+    for k in range(len(doc_ids)):
         t, w = (slice(*lists[n][0][k : k + 2]) for n in ("terms", "words"))
         own = np.lexsort((word_count[w], numbers[w]))
         picks.append((np.concatenate([term[t], numbers[w][own]]), np.concatenate([count[t], word_count[w][own]])))
-    found = zip(vectors.column("doc_id").to_pylist(), vectors.column("toxic").to_pylist(), picks, strict=True)
-    return {"terms": terms, "words": words, "totals": totals, "rows": list(found)}
+    del lists, term, count, word_count, numbers
+    pa.default_memory_pool().release_unused()
+    return {"terms": terms, "words": words, "totals": totals, "rows": list(zip(doc_ids, toxic, picks, strict=True))}
 
 
 def _flat(lists) -> tuple[np.ndarray, pa.Array]:
