@@ -15,6 +15,8 @@ PART = 8192
 CENTRES = 256
 #: Pivots of all labels together; they go to every worker.
 MAX_PIVOTS = 4096
+#: Pairs of nodes with so many points at most are compared point by point, many partners of a node at once.
+FEW = 64
 #: A node whose points lie this close to its centre is not split.
 LEAF_RADIUS = 1 / 32
 
@@ -36,7 +38,9 @@ class CoverTree:
         if len(x):
             self._node(0, 0, len(x), 2.0)
         self.centre, self.radius = np.array(self.centre, np.int64), np.array(self.radius)
-        self.single = np.array(self.end, np.int64) - np.array(self.start, np.int64) == 1
+        self.start, self.end = np.array(self.start, np.int64), np.array(self.end, np.int64)
+        self.size = self.end - self.start
+        self.single = self.size == 1
 
     def _cosines(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.x[a] @ self.x[b].T
@@ -86,14 +90,28 @@ class CoverTree:
 
 
 class Links:
-    """Counts and components of the pairs found between points numbered 0 to n - 1."""
+    """Counts and components of the pairs found between points numbered 0 to n - 1. Pairs are held until there are ``HELD``."""
+
+    HELD = 1 << 18
 
     def __init__(self, weight: np.ndarray) -> None:
         self.weight, self.count, self.label = weight, np.zeros(len(weight), np.int64), np.arange(len(weight))
+        self.held, self.pairs = 0, []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        np.add.at(self.count, i, self.weight[j])
-        np.add.at(self.count, j, self.weight[i])
+        self.pairs.append((i, j))
+        self.held += len(i)
+        if self.held >= self.HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        """Take the pairs held into counts and components."""
+        if not self.pairs:
+            return
+        i, j = (np.concatenate([p[k] for p in self.pairs]) for k in (0, 1))
+        self.held, self.pairs = 0, []
+        n = len(self.count)
+        self.count += np.bincount(i, self.weight[j], n).astype(np.int64) + np.bincount(j, self.weight[i], n).astype(np.int64)
         while len(i):
             a, b = self.label[i], self.label[j]
             different = a != b
@@ -101,7 +119,7 @@ class Links:
                 break
             i, j, a, b = i[different], j[different], a[different], b[different]
             np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
-            while (jumped := self.label[self.label]).tolist() != self.label.tolist():
+            while not np.array_equal(jumped := self.label[self.label], self.label):
                 self.label = jumped
 
 
@@ -110,7 +128,8 @@ def dual(a: CoverTree, b: CoverTree, threshold: float, found) -> None:
 
     A pair of nodes whose centres are farther apart than the threshold's
     distance and both covering radii is pruned. Otherwise the children of the
-    node with the larger radius, or of both, take its place.
+    node with the larger radius, or of both, take its place, or their points
+    where both are small.
     """
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-7
     if not len(a.centre) or not len(b.centre):
@@ -140,7 +159,22 @@ def dual(a: CoverTree, b: CoverTree, threshold: float, found) -> None:
                 i, j = i[i != j], j[i != j]
             if len(i):
                 found(i, j)
-            stack += zip(part[p[~single]].tolist(), over_b[q[~single]].tolist(), strict=True)
+            left, other = part[p[~single]], over_b[q[~single]]
+            few = (a.size[left] <= FEW) & (b.size[other] <= FEW) & ~(same & (left == other))
+            _lots(a, left[few], b, other[few], threshold, found)
+            stack += zip(left[~few].tolist(), other[~few].tolist(), strict=True)
+
+
+def _lots(a: CoverTree, left: np.ndarray, b: CoverTree, other: np.ndarray, threshold: float, found) -> None:
+    """Compare the points of small nodes directly: those of a node with those of all its partners (``left`` is sorted)."""
+    for own in np.split(np.arange(len(left)), np.flatnonzero(np.diff(left)) + 1) if len(left) else ():
+        mine, partners = a.order[a.start[left[own[0]]] : a.end[left[own[0]]]], other[own]
+        many = b.size[partners]
+        theirs = b.order[np.repeat(b.start[partners] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+        for low in range(0, len(theirs), 8192):
+            i, j = np.nonzero(a.x[mine] @ b.x[theirs[low : low + 8192]].T >= threshold)
+            if len(i):
+                found(mine[i], theirs[low + j])
 
 
 def _points(a: CoverTree, m: int, b: CoverTree, n: int, threshold: float, same: bool, found) -> None:
@@ -185,6 +219,7 @@ def _task(threshold: float):
         for p, q in pairs:
             if len(p) and len(q):
                 dual(tree(p), tree(q), threshold, lambda i, j, p=p, q=q: links.add(p[i], q[j]))
+        links.settle()
         has = np.flatnonzero((links.count > 0) | (links.label != np.arange(len(node))))
         return pa.table({"node": node[has], "n_links": links.count[has], "other": node[links.label[has]]})
 
