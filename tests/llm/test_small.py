@@ -530,6 +530,36 @@ def test_neighbours_are_exact():
         assert np.allclose(c, cos[want][keep], atol=1e-11) and n.tolist() == want[keep].tolist()
 
 
+def test_few_examples_are_opened_and_lots_change_nothing(monkeypatch):
+    rng, k = np.random.default_rng(8), toxicity.NEIGHBOURS
+    vectors = [{0: 9, **{int(t): int(rng.integers(1, 5)) for t in (rng.random(300) ** 3 * 300).astype(int)[:40]}} for _ in range(2500)]
+    index = toxicity.Index(vectors, [0] * 2500, [1.0] * 2500, list(range(2500)), 300)
+    dense = np.zeros((2500, 300))
+    for row, key in zip(dense, index.keys, strict=True):
+        t, w = index.unit(vectors[key])
+        row[t] = w
+    opened, best = [], toxicity._best
+    monkeypatch.setattr(toxicity, "_best", lambda n, cosines, k: opened.append(len(n)) or best(n, cosines, k))
+    units = [index.unit(v) for v in [*vectors[:70], {0: 1}, {299: 2}, {}]]
+    alone = [index.nearest_to(t, w) for t, w in units]
+    assert sum(opened[:70]) < 1.5 * k * 70
+    for (t, w), (n, c) in zip(units, alone, strict=True):
+        cos = np.round(dense[:, t] @ w, 12)
+        want = [x for x in np.lexsort((np.arange(2500), -cos))[:k] if cos[x] > 0]
+        assert np.allclose(c, cos[want], atol=2e-12) and np.allclose(cos[n], cos[want], atol=2e-12)
+    for (n, c), (m, d) in zip(index.nearest_to_each(units), alone, strict=True):
+        assert n.tolist() == m.tolist() and c.tolist() == d.tolist()
+
+
+def test_texts_of_a_lot_have_the_vectors_they_have_alone():
+    words = np.array(sorted(map(toxicity.hashed, ["vile", "thing", "x2"])), np.uint64)
+    model = toxicity.Model({"terms": ["vile", "thi*"], "words": words, "totals": {}, "rows": []})
+    texts = ["a Vile thing, x2 vile", "", "thing thing other", "no known word", "vile a x2 THING vile"]
+    lot = [(t.tolist(), n.tolist()) for t, n in model.vectors(texts)]
+    assert lot == [(t.tolist(), n.tolist()) for t, n in map(model.vector, texts)]
+    assert lot[0] == lot[4] and lot[1] == ([], []) and lot[2][0][:2] == [0, 2] and lot[0][0][:3] == [0, 1, 2] and sorted(lot[0][0][3:]) == [-1, 3, 4, 5]
+
+
 def test_toxicity(spark, none):
     plain = [f"word{k % 17} goes{k % 11} with{k % 7} things{k % 5} and more " * 8 for k in range(400)]
     rows = [(k, x + (" you vile swine " * 3 if k % 5 == 0 else ""), None, None, None) for k, x in enumerate(plain)] + [(900, None, None, None, None), (901, "", None, None, None)]

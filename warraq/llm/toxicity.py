@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,10 @@ from .common import engine, held_out, written
 SAMPLED = 6144
 #: Terms kept: all that are so far from chance (chi-square) at least, and so much more frequent in label 1.
 LEAST_CHI, LEAST_LIFT = 6.0, 3.0
-#: Neighbours that vote, examples in a block of the index, evidence returned.
-NEIGHBOURS, BLOCK, EVIDENCE = 24, 4, 3
-#: Examples opened at first; each further opening takes so many times as many.
-OPENED, WIDER = 48, 16
-#: Texts that are scored together; it bounds memory only.
-TOGETHER = 256
+#: Neighbours that vote, evidence returned.
+NEIGHBOURS, EVIDENCE = 24, 3
+#: Texts that are scored together, and of these such that are multiplied at once; they bound memory only.
+TOGETHER, AT_ONCE = 256, 64
 #: A term that more than this share of the examples has is common.
 COMMON = 0.06
 PREFIXES = range(3, 8)
@@ -92,17 +91,22 @@ def _best(n: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return n[best], cosines[best]
 
 
+def _reached(sums: np.ndarray, k: int) -> float:
+    """What ``k`` of the sums reach at least: the k-th largest of all, or of the largest ones of many groups."""
+    if len(sums) > 64 * k:
+        sums = sums[: len(sums) // 16 * 16].reshape(16, -1).max(axis=0)
+    return np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
+
+
 class Index:
-    """Block-max inverted index over unit TF-IDF vectors of the examples.
-
-    Postings of a rare term are added up for the examples that have it. For a
-    common term (more than ``COMMON`` of the examples have it) the largest
-    weight in each block of ``BLOCK`` examples is kept, and the bound of an
-    example is its rare part and the least of two bounds of its common part:
-    the sum of the query's weights times the block's largest, and the product
-    of both common parts' lengths. Examples are opened from the largest bound
-    on, several at once, and their common part is added exactly, until no
-    bound reaches the worst neighbour held; so the neighbours are exact.
+    """Inverted index over unit TF-IDF vectors of the examples, with its common terms as a table.
+
+    Postings of a rare term are added up for the examples that have it. The
+    parts of common terms (more than ``COMMON`` of the examples have one) are
+    one product in single precision for many queries at once, whose error has
+    a bound (``slack``). Only examples that reach the worst of the ``k``
+    largest sums, less that error on both sides, can be neighbours; their
+    common part is added exactly, so the neighbours are exact.
     Equal cosines go to the smaller example number, which the label has no
     part in. Terms from ``words_from`` on are the words: within a vector they
     keep their TF-IDF proportions, and together they are as long as the term
@@ -121,7 +125,7 @@ class Index:
         often = df > COMMON * total
 
         def alike(k: int) -> tuple:
-            """Examples with the same heaviest common terms stand together, which makes the bounds of blocks tight."""
+            """Examples with the same heaviest common terms stand together."""
             t, w = unit[k]
             mine = np.flatnonzero(often[t] & (t != ANY))
             return (*t[mine[np.argsort(-w[mine], kind="stable")[:4]]].tolist(), k)
@@ -137,14 +141,13 @@ class Index:
         n = np.repeat(np.arange(total, dtype=np.int32), sizes)
         self.common = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         here = often[t]
-        # common terms by example, with the largest weight of each block
+        # common terms by example
         self.own_term, self.own_value = self.common[t[here]], w[here]
         self.own = np.searchsorted(n[here], np.arange(total + 1))
-        self.blocks = -(-total // BLOCK)
+        self.width = int(often.sum())
+        # vectors are of length 1 at most, so this bounds the error of a product's sum and of its rounded factors
+        self.slack = (self.width + 4) * 2.0**-24
         self.dense = None
-        self.top = np.zeros((self.blocks, int(often.sum())), np.float32)
-        np.maximum.at(self.top, (n[here] // BLOCK, self.own_term), self.own_value.astype(np.float32))
-        self.length = np.sqrt(np.bincount(n[here], self.own_value**2, total))
         # rare terms by term. A word that stands once in its text weighs its idf times a factor of the text, so such postings need no weight
         once = np.concatenate([single[k] for k in order]) & ~here if total else np.empty(0, bool)
         self.factor = np.zeros(total)
@@ -162,9 +165,9 @@ class Index:
         return ((t >= self.words_from) & (counts == 1))[t != UNSEEN]
 
     def rows(self) -> np.ndarray:
-        """The common terms' weights, an example in a row; made where the index is used."""
+        """The common terms' weights in single precision, an example in a row; made where the index is used."""
         if self.dense is None:
-            self.dense = np.zeros((len(self.labels), self.top.shape[1]))
+            self.dense = np.zeros((len(self.labels), self.width), np.float32)
             self.dense[np.repeat(np.arange(len(self.labels)), np.diff(self.own)), self.own_term] = self.own_value
         return self.dense
 
@@ -189,40 +192,45 @@ class Index:
         return self.nearest_to(*self.unit(vector), k)
 
     def nearest_to(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_to_each([(t, w)], k)[0]
+
+    def nearest_to_each(self, units: list, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What ``nearest`` gives, for many vectors that ``unit`` made."""
+        out = []
+        for first in range(0, len(units), AT_ONCE):
+            lot = units[first : first + AT_ONCE]
+            places = [self.common[t] for t, _ in lot]
+            query = np.zeros((len(lot), self.width))
+            for row, at, (_, w) in zip(query, places, lot, strict=True):
+                row[at[at >= 0]] = w[at >= 0]
+            near = query.astype(np.float32) @ self.rows().T
+            out += [self._nearest(t[at < 0], w[at < 0], row, about, k) for (t, w), at, row, about in zip(lot, places, query, near, strict=True)]
+        return out
+
+    def _rare(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What rare terms add to each example."""
         total = len(self.labels)
-        if not len(t) or not total:
-            return np.empty(0, np.int64), np.empty(0)
-        at = self.common[t]
-        rare, often = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
-        t_rare, w_rare = t[rare], w[rare]
-        start, end = self.posts[t_rare], self.posts[t_rare + 1]
+        start, end = self.posts[t], self.posts[t + 1]
         post = _spans(start, end)
-        part = np.bincount(self.example[post], np.repeat(w_rare, end - start) * self.value[post], total)
-        start, end = self.once_posts[t_rare], self.once_posts[t_rare + 1]
+        part = np.bincount(self.example[post], np.repeat(w, end - start) * self.value[post], total)
+        start, end = self.once_posts[t], self.once_posts[t + 1]
         if (end > start).any():
             found = self.once.take(_spans(start, end))
-            part = part + self.factor * np.bincount(found, np.repeat(w_rare * self.idf[t_rare], end - start), total)
-        if not len(often):
-            return _best(np.arange(total), np.round(part, 12), k)
-        columns = at[often]
-        query = np.zeros(self.top.shape[1])
-        query[columns] = w[often]
-        by_block = np.repeat(self.top @ query.astype(np.float32), BLOCK)[:total]
-        bound = part + np.minimum(by_block, np.sqrt((w[often] ** 2).sum()) * self.length) + 1e-5  # the bounds of blocks are in single precision
-        held, cosines, opened, most = np.empty(0, np.int64), np.empty(0), 0, OPENED
-        left = np.arange(total)
-        while len(left):
-            if len(left) > most:
-                cut = np.argpartition(bound if len(left) == total else bound[left], len(left) - most)
-                left, now = left[cut[:-most]], left[cut[-most:]]
-            else:
-                now, left = left, left[:0]
-            exact = part[now] + self.rows().take(now, axis=0) @ query
-            held, cosines = _best(np.concatenate([held, now]), np.concatenate([cosines, np.round(exact, 12)]), k)
-            most *= WIDER
-            if len(held) == k:
-                left = left[bound[left] >= cosines[-1]]
-        return held, cosines
+            part = part + self.factor * np.bincount(found, np.repeat(w * self.idf[t], end - start), total)
+        return part
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, query: np.ndarray, about: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest by rare terms, the weights of the common ones and about what those add to each example."""
+        total = len(self.labels)
+        if not total or not len(t) and not query.any():
+            return np.empty(0, np.int64), np.empty(0)
+        part = self._rare(t, w)
+        sums = part + about
+        now = np.flatnonzero(sums >= _reached(sums, k) - 2 * self.slack)
+        start, end = self.own[now], self.own[now + 1]
+        post = _spans(start, end)
+        exact = part[now] + np.bincount(np.repeat(np.arange(len(now)), end - start), query[self.own_term[post]] * self.own_value[post], len(now))
+        return _best(now, np.round(exact, 12), k)
 
     def examples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each example's vector begins, and the terms and weights of all, example by example."""
@@ -274,17 +282,27 @@ class Model:
         self.__dict__ |= state
         self.terms, self.known = Terms(self.names), {}
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        low = text.lower()
-        words = Counter(TOKEN.findall(low))
-        terms = sorted(self.terms.count(low, words).items())
-        hashes = np.fromiter(map(hashed, words), np.uint64, len(words))
-        order = np.argsort(hashes)  # sorted keys are found faster, and equal vectors are summed alike
-        hashes, counts = hashes[order], np.fromiter(words.values(), float, len(words))[order]
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms and counts of each text; equal ones are in one order, so they are summed alike."""
+        low = [t.lower() for t in texts]
+        words = [Counter(TOKEN.findall(t)) for t in low]
+        sizes = [len(w) for w in words]
+        hashes = np.fromiter(map(hashed, chain.from_iterable(words)), np.uint64, sum(sizes))
+        counts = np.fromiter(chain.from_iterable(w.values() for w in words), float, len(hashes))
+        order = np.argsort(hashes)  # sorted keys are found faster
+        hashes = hashes[order]
         at = np.searchsorted(self.words, hashes)
         known = self.words.take(at, mode="clip") == hashes if len(self.words) else np.zeros(len(hashes), bool)
-        numbers = np.where(known, at + (1 + len(self.names)), UNSEEN)
-        return np.concatenate([np.array([k for k, _ in terms], np.int64), numbers]), np.concatenate([np.array([n for _, n in terms], float), counts])
+        by_text = np.argsort(np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)[order], kind="stable")
+        numbers, counts = np.where(known, at + (1 + len(self.names)), UNSEEN)[by_text], counts[order[by_text]]
+        out = []
+        for t, w, end in zip(low, words, np.cumsum(sizes).tolist(), strict=True):
+            terms, own = sorted(self.terms.count(t, w).items()), slice(end - len(w), end)
+            out.append((np.concatenate([np.array([k for k, _ in terms], np.int64), numbers[own]]), np.concatenate([np.array([n for _, n in terms], float), counts[own]])))
+        return out
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.vectors([text])[0]
 
     def scores(self, texts: list[str], at: np.ndarray, level: np.ndarray) -> list[tuple[float, list]]:
         """Score and evidence of each text. All are cut into words before any is searched for, as each half keeps the processor's caches full."""
@@ -292,9 +310,8 @@ class Model:
         if len(self.known) > 8_000:
             self.known.clear()
         fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.known}
-        vectors = {k: self.index.unit(self.vector(t)) for k, t in fresh.items()}
-        for key, unit in vectors.items():
-            n, cos = self.index.nearest_to(*unit)
+        units = [self.index.unit(v) for v in self.vectors(list(fresh.values()))]
+        for key, (n, cos) in zip(fresh, self.index.nearest_to_each(units), strict=True):
             vote = self.index.vote(n, cos)
             if vote < 0:
                 score = self.prior
@@ -319,9 +336,8 @@ def _calibrated(spark, model: Model, shared) -> tuple[np.ndarray, np.ndarray]:
         start, terms, weights = index.examples()
         for b in batches:
             out, numbers = [], b.column("id").to_pylist()
-            for k in numbers:
-                own = slice(start[k], start[k + 1])
-                n, cos = index.nearest_to(terms[own], weights[own], NEIGHBOURS + 1)
+            units = [(terms[start[k] : start[k + 1]], weights[start[k] : start[k + 1]]) for k in numbers]
+            for k, (n, cos) in zip(numbers, index.nearest_to_each(units, NEIGHBOURS + 1), strict=True):
                 out.append(index.vote(n[n != k][:NEIGHBOURS], cos[n != k][:NEIGHBOURS]))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(out, pa.float64())], names=["id", "vote"])
 
