@@ -172,6 +172,40 @@ def test_words_are_encoded_as_the_library_does_by_default(tmp_path):
     assert not e.by_word and e.encode(["a b", None])[0].tolist() == lib.encode("a b", add_special_tokens=False).ids
 
 
+def test_words_with_runs_of_signs_need_only_the_merges(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from warraq.llm import tokens
+
+    lib, e = Tokenizer.from_file(WORD), tokens.WordEncoder(WORD)
+    plain = [w + s for w in ("word", "Été", "") for s in ("###", "$$$", "&&&!", ').*+-/=>@[\\]^_`{}~"')]
+    other = ["'s###", "don't###", "(a", "<|endoftext|>###", "a<", "#\u0301", "9#"]
+    texts = [" ".join(plain), None, "", " \t", "\x0b a\x0c", *other, " ".join([*other, *plain])]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    whole, chain = [], e.tokenizer
+    e.tokenizer = type("Counted", (), {"encode": lambda self, w, **how: whole.append(w) or chain.encode(w, **how)})()
+    assert [x.tolist() for x in e.encode(texts)] == want and sorted(whole) == sorted(other)
+    # a full store begins anew, which changes no result
+    monkeypatch.setattr(tokens, "MAX_STORED", 3)
+    assert [e.encode([t])[0].tolist() for t in texts * 2] == want * 2 and len(e.kept.number) <= 3 + len(set(texts[-1].split()))
+
+
+def test_special_strings_of_plain_signs_are_left_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from warraq.llm import tokens
+
+    spec = json.load(open(WORD))
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 256, "content": "!!"})
+    path = tmp_path / "signs.json"
+    path.write_text(json.dumps(spec))
+    texts = ["a!! b", "word !!!", "b!"]
+    want = [Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.WordEncoder(str(path)).encode(texts)] == want
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert sorted(np.bincount(bins, weights=[6, 5, 4, 3, 2]).tolist()) == [10, 10]

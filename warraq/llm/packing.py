@@ -41,7 +41,7 @@ def token_pieces(text: Column, tokenizer_path: str, capacity: int, end_id: int =
         end = np.array([end_id], np.int32)
         for at in range(0, len(texts), TOGETHER):
             number, start, length, crc, ids, ends = [], [], [], [], [], [0]
-            for found in encoder.encode(texts[at : at + TOGETHER].to_pylist()):
+            for found in encoder.encode(texts[at : at + TOGETHER]):
                 found = np.concatenate([found, end])
                 for k, s in enumerate(range(0, len(found), capacity)):
                     part = found[s : s + capacity]

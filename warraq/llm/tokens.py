@@ -11,15 +11,18 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import engine
 
-#: Distinct words that an encoder keeps. Later new words are encoded anew for each lot of texts: the bound is on memory, never on a result.
+#: Distinct words that an encoder keeps until it begins anew: the bound is on memory, never on a result.
 MAX_STORED = 600_000
-#: Words that need no normalising but lower case, and are split into letters and one sign.
-SIMPLE = re.compile("([a-zß-öø-ÿ]*)([.,;:!?|]?)")
+#: Words that need no normalising but lower case, and are split into letters and one run of signs; none of these signs begins a contraction.
+SIMPLE = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
 
 
 class Store:
@@ -29,27 +32,23 @@ class Store:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {}
         self.start, self.count, self.ids = array("q"), array("q"), array("i")
 
-    def add(self, key: bytes, ids: list[int]) -> None:
-        self.number[key] = len(self.start)
-        self.start.append(len(self.ids))
-        self.count.append(len(ids))
+    def add(self, keys: list[str], ids: list[int], counts: np.ndarray) -> np.ndarray:
+        """Take in different new words with their ids in a row and how many each has; gives the words' numbers."""
+        first = len(self.start)
+        self.number.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.start.frombytes((np.cumsum(counts) - counts + len(self.ids)).tobytes())
+        self.count.frombytes(counts.tobytes())
         self.ids.extend(ids)
+        return np.arange(first, first + len(keys))
 
-
-def gather(first: Store, second: Store, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of words in a row, and how many each word has; the complement of a number is one of ``second``."""
-    stores = [first] if second is first else [first, second]
-    base = len(first.start)
-    start = np.concatenate([np.frombuffer(x.start, np.int64) + k * len(first.ids) for k, x in enumerate(stores)])
-    count = np.concatenate([np.frombuffer(x.count, np.int64) for x in stores])
-    ids = np.concatenate([np.frombuffer(x.ids, np.int32) for x in stores])
-    numbers = np.where(numbers < 0, ~numbers + base, numbers)
-    start, count = start[numbers], count[numbers]
-    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    return ids[at], count
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, and how many each word has."""
+        start, count = np.frombuffer(self.start, np.int64)[numbers], np.frombuffer(self.count, np.int64)[numbers]
+        at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return np.frombuffer(self.ids, np.int32)[at], count
 
 
 #: Alternatives of a splitter's pattern that match no white space; one of letters alone, one of signs alone.
@@ -77,7 +76,7 @@ def words_stand_alone(spec: dict) -> bool:
         and not second.get("add_prefix_space")
         and not second.get("use_regex")
         and spec.get("post_processor") is None
-        and not any(a.get("normalized") or a.get("single_word") or any(map(str.isspace, a["content"])) for a in added)
+        and not any(a.get("normalized") or a.get("single_word") or any(map(str.isspace, a["content"])) or SIMPLE.fullmatch(a["content"].lower()) for a in added)
     )
 
 
@@ -86,8 +85,8 @@ class WordEncoder:
 
     Where words stand alone (``words_stand_alone``: composition never joins a
     space with what follows it, and the splitter's pattern matches no white
-    space) each distinct word is encoded once. Words of plain letters with one
-    sign at most go straight to the library's merges, all others through its
+    space) each distinct word is encoded once. Words of plain letters, then
+    plain signs, go straight to the library's merges, all others through its
     whole chain. Any other vocabulary gets whole texts through the library.
     """
 
@@ -98,39 +97,45 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             self.by_word = words_stand_alone(json.load(f))
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelt = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x21, 0x100)) if SIMPLE.fullmatch(c)}
+        self.spelt = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x21, 0x100)) if SIMPLE.fullmatch(c)} | {0x20: " "}
         self.merge = self.tokenizer.model.tokenize
-        self.kept, self.passing = Store(), Store()
-
-    def _ids(self, word: str) -> list[int]:
-        if m := SIMPLE.fullmatch(word.lower()):
-            return [t.id for part in m.groups() if part for t in self.merge(part.translate(self.spelt))]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        self.kept = Store()
+
+    def _ids(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        """The ids of many words in a row, and how many each has."""
+        matches = [SIMPLE.fullmatch(w) for w in " ".join(words).lower().split(" ")]
+        parts = [m[1] + " " + m[2] if m and m[1] and m[2] else m[0] if m else "" for m in matches]
+        ids: list[int] = []
+        ends = [0]
+        for word, match, spelt in zip(words, matches, "\n".join(parts).translate(self.spelt).split("\n"), strict=True):
+            if match:
+                for part in spelt.split(" "):
+                    ids += [t.id for t in self.merge(part)] if part else ()
+            else:
+                ids += self.tokenizer.encode(word, add_special_tokens=False).ids
+            ends.append(len(ids))
+        return ids, np.diff(np.array(ends, np.int64))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is the empty text. Special strings of the vocabulary are their ids."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_word:
-            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        words = [(t or "").encode().split() for t in texts]
-        known = self.kept.number
-        every = [w for ws in words for w in ws]
-        fresh = {w for w in every if w not in known}
-        store = self.kept
-        if len(known) + len(fresh) > MAX_STORED:
-            store, known = self.passing, None
-            store.clear()
-        for w in fresh:
-            store.add(w, self._ids(w.decode()))
-        if known is None:
-            first, second = self.kept.number, store.number
-            numbers = np.fromiter((first[w] if w in first else ~second[w] for w in every), np.int64, len(every))
-        else:
-            numbers = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
-        ids, count = gather(self.kept, store, numbers)
-        ends = np.zeros(len(every) + 1, np.int64)
-        np.cumsum(count, out=ends[1:])
-        cuts = ends[np.cumsum([len(ws) for ws in words])][:-1] if words else []
-        return np.split(ids, cuts) if words else []
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        if not len(texts):
+            return []
+        # an empty word stands where white space begins or ends a text; it has no ids
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        every = words.flatten().dictionary_encode()
+        distinct = every.dictionary.to_numpy(zero_copy_only=False)
+        if len(self.kept.number) > MAX_STORED:
+            self.kept.clear()
+        numbers = np.fromiter(map(self.kept.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = numbers < 0
+        fresh = distinct[new].tolist()
+        numbers[new] = self.kept.add(fresh, *self._ids(fresh)) if fresh else ()
+        ids, counts = self.kept.gather(numbers[every.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return np.split(ids, ends[np.cumsum(pc.list_value_length(words).to_numpy())][:-1])
 
 
 def word_encoder(path: str) -> WordEncoder:
