@@ -21,6 +21,8 @@ from .common import engine
 
 #: Distinct words that an encoder keeps until it begins anew: the bound is on memory, never on a result.
 MAX_STORED = 600_000
+#: New words that are encoded at once; it bounds memory only.
+AT_ONCE = 4096
 #: Words that need no normalising but lower case, and are split into letters and one run of signs; none of these signs begins a contraction.
 SIMPLE = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
 
@@ -132,10 +134,13 @@ class WordEncoder:
         numbers = np.fromiter(map(self.kept.number.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = numbers < 0
         fresh = distinct[new].tolist()
-        numbers[new] = self.kept.add(fresh, *self._ids(fresh)) if fresh else ()
-        ids, counts = self.kept.gather(numbers[every.indices.to_numpy()])
+        numbers[new] = np.concatenate([np.empty(0, np.int64), *(self.kept.add(lot, *self._ids(lot)) for lot in (fresh[k : k + AT_ONCE] for k in range(0, len(fresh), AT_ONCE)))])
+        numbers, last = numbers[every.indices.to_numpy()], np.cumsum(pc.list_value_length(words).to_numpy())
+        del words, every, distinct, fresh
+        pa.default_memory_pool().release_unused()  # a worker's memory is shared with its executor
+        ids, counts = self.kept.gather(numbers)
         ends = np.concatenate([[0], np.cumsum(counts)])
-        return np.split(ids, ends[np.cumsum(pc.list_value_length(words).to_numpy())][:-1])
+        return np.split(ids, ends[last][:-1])
 
 
 def word_encoder(path: str) -> WordEncoder:
