@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import fold_family
+from ..scratch import written
 
 
 def shared_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:
@@ -53,17 +54,22 @@ def placeholder_match(shapes: DataFrame, placeholders: DataFrame) -> DataFrame:
 def ancestors(spark: SparkSession, edges: DataFrame, limit: int = 64) -> DataFrame:
     """All (child, ancestor, hop) along parent edges (child, parent), hop 0 being the child itself.
 
-    Recursive, at most ``limit`` hops; a chain that returns to a node stops
-    there. Each hop is one join of what is still climbing.
+    At most ``limit`` hops; a chain that returns to a node stops there. Each
+    hop puts an edge below the chains that begin at its parent, so rows meet
+    by a node's own chains and never by an ancestor that all of them share.
+    The chains of a hop are a table on disk; there is no limit to their rows.
     """
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"""
-        with recursive up(child, ancestor, hop, seen) as (
-          select distinct child, child, 0, array(child) from _edges
-          union all
-          select u.child, e.parent, u.hop + 1, concat(u.seen, array(e.parent)) from up u join _edges e on e.child = u.ancestor
-          where u.hop < {int(limit)} and not array_contains(u.seen, e.parent) and e.parent is not null
-        ) select child, ancestor, hop from up""")
+    steps = edges.where("parent is not null and child <> parent").select("child", "parent")
+    found = edges.select("child").distinct().select("child", F.col("child").alias("ancestor"), F.lit(0).alias("hop"))
+    chains = steps.select("child", F.col("parent").alias("ancestor"), F.array("child", "parent").alias("seen"))
+    for hop in range(1, limit + 1):
+        chains = written(chains, "chains")
+        if chains.isEmpty():
+            break
+        found = found.unionByName(chains.select("child", "ancestor", F.lit(hop).alias("hop")))
+        above = chains.withColumnRenamed("child", "parent")
+        chains = steps.join(above, "parent").where(~F.array_contains("seen", F.col("child"))).select("child", "ancestor", F.concat(F.array("child"), "seen").alias("seen"))
+    return found
 
 
 def nearest_stated(chain: DataFrame, stated: DataFrame, values: list[str]) -> DataFrame:
