@@ -27,3 +27,14 @@ def test_chains_with_rings_repeats_and_several_parents(spark):
     frame = spark.createDataFrame(edges, "child long, parent long")
     for limit in (64, 2, 0):
         assert sorted((tuple(r) for r in joins.ancestors(spark, frame, limit).collect()), key=repr) == python_chains(edges, limit)
+
+
+def test_nearest_stated_over_many_chains(spark):
+    edges = spark.range(90_000).select(F.col("id").alias("child"), F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).alias("parent"))
+    stated = spark.range(90_000).select(F.col("id").alias("ancestor"), F.when(F.col("id") % 1000 == 1, F.col("id")).alias("named"))
+    got = {r.child: r.named for r in joins.nearest_stated(joins.ancestors(spark, edges), stated, ["named"]).where("child % 997 = 5").collect()}
+    for n, named in got.items():
+        while n % 1000 != 1 and n > 1:
+            n //= 2
+        assert named == n
+    assert len(got) == 91
