@@ -34,12 +34,22 @@ def has_arabic_mark(t: Column) -> Column:
 
 
 def count_of(t: Column, pattern: str) -> Column:
-    return F.regexp_count(t, F.lit(pattern))
+    """Characters of a class: the length of what is left when stretches of all others are gone.
+
+    Spark writes the loop over matches into the code of the whole stage, which
+    is too long to be compiled; in a lambda it is a compiled function.
+    """
+    return let(t, lambda x: F.length(F.regexp_replace(x, f"[^{pattern[1:-1]}]+", "")))
+
+
+def high(t: Column) -> Column:
+    """The characters of a text that a class of the Arabic script, its controls or its forms can have; few in other texts."""
+    return let(t, lambda x: F.regexp_replace(x, f"{u.BELOW}+", ""))
 
 
 def dominant_direction(t: Column) -> Column:
     """rtl if Arabic letters outnumber ASCII letters, else ltr."""
-    return F.when(count_of(t, u.ARABIC_LETTER) > count_of(t, "[A-Za-z]"), "rtl").otherwise("ltr")
+    return F.when(count_of(high(t), u.ARABIC_LETTER) > count_of(t, "[A-Za-z]"), "rtl").otherwise("ltr")
 
 
 def let(value: Column, body) -> Column:
@@ -83,11 +93,11 @@ def strip_controls(t: Column) -> Column:
 
 
 def presentation_forms(t: Column) -> Column:
-    return count_of(t, u.PRESENTATION_FORM)
+    return count_of(high(t), u.PRESENTATION_FORM)
 
 
 def word_ligatures(t: Column) -> Column:
-    return count_of(t, u.WORD_LIGATURE)
+    return count_of(high(t), u.WORD_LIGATURE)
 
 
 def normalize_presentation_forms(t: Column) -> Column:
@@ -114,9 +124,26 @@ def joining_types(t: Column) -> Column:
     return F.translate(known, "".join(_JOINING) + "‍\x01", "".join(_JOINING.values()) + "CX")
 
 
+def stretches(t: Column) -> Column:
+    """A text cut at both ends of each stretch that joining can cross, and in others at will. What joins, and what a verdict or a form depends on, never leaves a stretch."""
+    return F.regexp_extract_all(t, F.lit(f"{u.BELOW}+|{u.JOINED}+|{u.UNJOINED}+"), F.lit(0))
+
+
 def tatweel_runs(t: Column) -> Column:
     """Maximal runs of tatweel: offset, length, verdict (carrier, stretched, standalone, wedged, displayed)."""
 
+    def of_stretch(parts: Column, n: Column) -> Column:
+        at = F.octet_length(F.array_join(F.slice(parts, F.lit(1), n), ""))
+        return let(F.struct(at.alias("at"), F.get(parts, n).alias("text")), lambda s: F.transform(_tatweel_runs(s["text"]), lambda r: r.withField("offset", r["offset"] + s["at"])))
+
+    def found(parts: Column) -> Column:
+        some = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.get(parts, n).contains(u.TATWEEL))
+        return F.flatten(F.transform(some, lambda n: of_stretch(parts, n)))
+
+    return F.when(t.contains(u.TATWEEL), let(stretches(t), found)).otherwise(F.array().cast("array<struct<offset:int,length:int,verdict:string>>"))
+
+
+def _tatweel_runs(t: Column) -> Column:
     def found(parts: Column) -> Column:
         """``parts``: the joining types, cut at both ends of each run."""
 
@@ -128,8 +155,7 @@ def tatweel_runs(t: Column) -> Column:
 
         return F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i).startswith("K")), run)
 
-    cut = F.filter(F.split(joining_types(t), "(?<=K)(?!K)|(?<!K)(?=K)"), lambda x: x != "")
-    return F.when(t.contains(u.TATWEEL), let(cut, found)).otherwise(F.array().cast("array<struct<offset:int,length:int,verdict:string>>"))
+    return let(F.filter(F.split(joining_types(t), "(?<=K)(?!K)|(?<!K)(?=K)"), lambda x: x != ""), found)
 
 
 def verdict(length: Column, before: Column, after: Column) -> Column:
@@ -243,9 +269,10 @@ def imposed(t: Column, direction: Column) -> Column:
 
 
 def escape(t: Column) -> Column:
-    """All but printable ASCII as \\u{XXXX}."""
-    esc = F.array_join(F.transform(chars(t), lambda c: F.when(c.rlike("[ -~]"), c).otherwise(F.concat(F.lit("\\u{"), F.format_string("%04X", ordinal(c)), F.lit("}")))), "")
-    return F.when(t.rlike("[^ -~]"), esc).otherwise(t)
+    """All but printable ASCII as \\u{XXXX}. Texts are cut around the other characters only."""
+    one = lambda c: F.when(c.rlike("^[ -~]"), c).otherwise(F.concat(F.lit("\\u{"), F.format_string("%04X", ordinal(c)), F.lit("}")))
+    cut = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("[ -~]+|[^ -~]"), F.lit(0)), one), "")
+    return F.when(t.rlike("[^ -~]"), let(t, cut)).otherwise(t)
 
 
 def column_of(reference: Column) -> Column:

@@ -19,6 +19,8 @@ CONTROL = r"[\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
 LEADING_MARKER = r"^[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]*([\x{2022}\x{25E6}\x{25AA}\x{2023}\x{2043}])[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]"
 ARABIC_TAG = r"(?i)^ar(-|$)"
 TATWEEL = "ـ"
+#: All characters below the first that joins or that any class of Arabic letters, marks, controls or forms has.
+BELOW = r"[\x{0000}-\x{060F}]"
 
 # Names of the twelve direction controls.
 CONTROL_NAMES = {
@@ -51,18 +53,6 @@ def joining_table() -> dict[str, str]:
     return table
 
 
-def logical_form(c: str) -> str | None:
-    """The compatibility form of a presentation form; None for anything else, word ligatures too."""
-    o = ord(c)
-    if not (0xFB50 <= o <= 0xFDFF or 0xFE70 <= o <= 0xFEFF) or 0xFDF0 <= o <= 0xFDFF:
-        return None
-    form = unicodedata.normalize("NFKC", c)
-    return form if form != c else None
-
-
-PRESENTATION = {chr(c): f for c in [*range(0xFB50, 0xFE00), *range(0xFE70, 0xFF00)] if (f := logical_form(chr(c)))}
-
-
 def char_class(chars) -> str:
     """A regular-expression class of characters, by ranges."""
     points, out = sorted(map(ord, chars)), []
@@ -77,6 +67,23 @@ def char_class(chars) -> str:
     return f"[{''.join(out)}]"
 
 
+#: Characters whose joining type isn't U, and all others.
+_JOINED = char_class([*(c for c, k in joining_table().items() if k != "U"), "\u200d"])[1:-1] + UNSTATED[1:-1]
+JOINED, UNJOINED = f"[{_JOINED}]", f"[^{_JOINED}]"
+
+
+def logical_form(c: str) -> str | None:
+    """The compatibility form of a presentation form; None for anything else, word ligatures too."""
+    o = ord(c)
+    if not (0xFB50 <= o <= 0xFDFF or 0xFE70 <= o <= 0xFEFF) or 0xFDF0 <= o <= 0xFDFF:
+        return None
+    form = unicodedata.normalize("NFKC", c)
+    return form if form != c else None
+
+
+PRESENTATION = {chr(c): f for c in [*range(0xFB50, 0xFE00), *range(0xFE70, 0xFF00)] if (f := logical_form(chr(c)))}
+
+
 PRESENTATION_FORM = char_class(PRESENTATION)
 NAMES = {chr(c): unicodedata.name(chr(c)) for low, high in ARABIC_BLOCKS for c in range(low, high + 1) if unicodedata.name(chr(c), "")}
 

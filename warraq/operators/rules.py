@@ -20,6 +20,7 @@ from ..functions import text as t
 from ..functions import unicode as u
 from ..functions.attributes import origin_text
 from ..plans.schema import DIAGNOSTIC, FIX, SEVERITIES
+from ..scratch import small_batches
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,8 @@ def inherited(name: str) -> Column:
 
 def features(units: DataFrame, needs: Iterable[str] = ("orders", "spans")) -> DataFrame:
     """The columns that rules share. ``needs`` names the Python steps to run."""
-    out = units.withColumn("ar_count", t.count_of(F.col("text"), u.ARABIC_LETTER)).withColumn("la_count", t.count_of(F.col("text"), "[A-Za-z]"))
+    small_batches(units.sparkSession)
+    out = units.withColumn("high", t.high(F.col("text"))).withColumn("ar_count", t.count_of(F.col("high"), u.ARABIC_LETTER)).withColumn("la_count", t.count_of(F.col("text"), "[A-Za-z]"))
     out = out.withColumn("has_arabic", F.coalesce(F.col("ar_count") > 0, F.lit(False))).withColumn("dominant", F.when(F.col("ar_count") > F.col("la_count"), "rtl").otherwise("ltr"))
     out = out.withColumn("runs", _runs(_gateway()))
     paragraph = F.col("has_arabic") & (F.col("kind") == "paragraph")
@@ -124,16 +126,16 @@ def _spans(each: Callable[[Column, Column], Column]) -> Column:
 @rule("bidi-control", "A text holds invisible direction controls")
 def bidi_control(o: RepairOptions) -> Column:
     hits = t.controls(F.col("text"))
-    names = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["name"])))
-    message = F.concat(F.size(hits).cast("string"), F.lit(" direction control(s) in the text: "), F.array_join(names, ", "))
-    return only(F.col("text").rlike(u.CONTROL), finding("bidi-control", "error", message, logical=F.col("text"), offenders=names, fixable=True, repair=fix("RemoveControls", offsets=F.transform(hits, lambda h: h["offset"]))))
+    names = F.array_sort(F.array_distinct(F.transform(t.controls(F.col("high")), lambda h: h["name"])))
+    message = F.concat(t.count_of(F.col("high"), u.CONTROL).cast("string"), F.lit(" direction control(s) in the text: "), F.array_join(names, ", "))
+    return only(F.col("high").rlike(u.CONTROL), finding("bidi-control", "error", message, logical=F.col("text"), offenders=names, fixable=True, repair=fix("RemoveControls", offsets=F.transform(hits, lambda h: h["offset"]))))
 
 
 @rule("presentation-forms", "A text holds letters in a fixed shape instead of letters")
 def presentation_forms(o: RepairOptions) -> Column:
-    forms, ligatures = t.presentation_forms(F.col("text")), t.word_ligatures(F.col("text"))
-    a = finding("presentation-forms", "error", F.concat(forms.cast("string"), F.lit(" character(s) with a fixed shape; search and joining fail on them")), logical=F.col("text"), offenders=t.offending_codepoints(F.col("text"), u.PRESENTATION_FORM), fixable=True, repair=fix("NormalizePresentationForms"))
-    b = finding("presentation-forms", "warning", F.concat(ligatures.cast("string"), F.lit(" word ligature(s); no spelling is the same in all fonts")), logical=F.col("text"), offenders=t.offending_codepoints(F.col("text"), u.WORD_LIGATURE), hit=1)
+    forms, ligatures = t.count_of(F.col("high"), u.PRESENTATION_FORM), t.count_of(F.col("high"), u.WORD_LIGATURE)
+    a = finding("presentation-forms", "error", F.concat(forms.cast("string"), F.lit(" character(s) with a fixed shape; search and joining fail on them")), logical=F.col("text"), offenders=t.offending_codepoints(F.col("high"), u.PRESENTATION_FORM), fixable=True, repair=fix("NormalizePresentationForms"))
+    b = finding("presentation-forms", "warning", F.concat(ligatures.cast("string"), F.lit(" word ligature(s); no spelling is the same in all fonts")), logical=F.col("text"), offenders=t.offending_codepoints(F.col("high"), u.WORD_LIGATURE), hit=1)
     return F.concat(only(forms > 0, a), only(ligatures > 0, b))
 
 
@@ -268,7 +270,8 @@ def diagnostics(units: DataFrame, options: RepairOptions | None = None, rules: I
     if "spans" in needs:
         needs.add("orders")
     # a text without any of these has no finding of any rule, so it never reaches the features
-    trigger = F.col("text").rlike(f"{u.ARABIC_LETTER}|{u.CONTROL}|{u.PRESENTATION_FORM}|{u.WORD_LIGATURE}") | F.col("text").rlike(u.LEADING_MARKER)
+    some = "".join(c[1:-1] for c in (u.ARABIC_LETTER, u.CONTROL, u.PRESENTATION_FORM, u.WORD_LIGATURE))
+    trigger = t.high(F.col("text")).rlike(f"[{some}]") | F.col("text").rlike(u.LEADING_MARKER)
     with_features = features(units.where(trigger), needs)
     parts = [_part(r.id, options, _gateway()) for r in chosen]
     found = F.concat(*parts, *(extra or {}).values())
