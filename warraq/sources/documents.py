@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import batched, rows
 from ..plans.schema import UNITS
+from ..scratch import small_batches
 from .dispatch import READABLE, format_of
 
 SCANNED = f"{UNITS}, unread array<string>, error string"
@@ -30,14 +31,16 @@ def scan(found: DataFrame) -> DataFrame:
     kind = to_arrow_schema(StructType.fromDDL(SCANNED))
 
     def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                doc, fmt, data = (b.column(c)[k].as_py() for c in ("path", "format", "content"))
-                rows, unread, error = _read(doc, fmt, data)
-                rows = [{"doc_id": doc, "format": fmt, **r} for r in rows] + [{"doc_id": doc, "format": fmt, "unread": unread, "error": error}]
-                for at in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 2000], kind)
+        def read():
+            for f in rows(batches):
+                doc, fmt = f["path"], f["format"]
+                each, unread, error = _read(doc, fmt, f["content"])
+                yield from ({"doc_id": doc, "format": fmt, **r} for r in each)
+                yield {"doc_id": doc, "format": fmt, "unread": unread, "error": error}
 
+        yield from batched(read(), kind)
+
+    small_batches(found.sparkSession)
     return found.select("path", "format", "content").mapInArrow(run, SCANNED)
 
 
