@@ -17,6 +17,25 @@ def characters(units: DataFrame, key: str = "unit_id", text: str = "text") -> Da
     return each.select(key, "pos", "ch", F.coalesce(F.sum(F.octet_length("ch")).over(ahead), F.lit(0)).cast("int").alias("offset"), "joining")
 
 
+def joined_characters(units: DataFrame, key: str = "unit_id", text: str = "text") -> DataFrame:
+    """``characters`` for the functions below, of which none looks beyond a stretch that joining can cross.
+
+    Each stretch gives a row per character. What stands between stretches is
+    a row with its first character, non-joining: offsets count all of it,
+    ``pos`` counts rows. Texts without a stretch give none.
+    """
+
+    def rows(part):
+        row = lambda c, octets, k: F.struct(c.alias("ch"), octets.alias("octets"), k.alias("joining"))
+        each = F.zip_with(t.chars(part), t.chars(t.joining_types(part)), lambda c, k: row(c, F.octet_length(c), k))
+        return F.when(part.rlike(f"^{u.JOINED}"), each).otherwise(F.array(row(F.substring(part, 1, 1), F.octet_length(part), F.lit("U"))))
+
+    cut = t.let(F.col(text), lambda x: F.flatten(F.transform(t.stretches(x), rows)))
+    each = units.where(t.high(F.col(text)).rlike(u.JOINED)).select(key, F.posexplode(cut).alias("pos", "e")).select(key, "pos", "e.*")
+    ahead = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(key, "pos", "ch", F.coalesce(F.sum("octets").over(ahead), F.lit(0)).cast("int").alias("offset"), "joining")
+
+
 def tatweel_runs(chars: DataFrame, key: str = "unit_id") -> DataFrame:
     """Runs of tatweel by gaps and islands: key, offset, length, verdict.
 

@@ -12,6 +12,7 @@ from ..functions import bidi
 from ..functions import text as t
 from ..functions import unicode as u
 from ..operators import aggregates, joins, repair, report, rules, windows
+from ..scratch import small_batches
 from . import units as un
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,7 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -497,7 +499,7 @@ def u03_missing_parts(spark, sf_dir):
 
 
 def _characters(spark, sf_dir):
-    return windows.characters(texts(spark, sf_dir), "ord", "text")
+    return windows.joined_characters(texts(spark, sf_dir), "ord", "text")
 
 
 @query
@@ -587,15 +589,19 @@ def _built(spark, sf_dir, build, fmt: str):
     """(path, format, content): a file per document, built from its injected text and direction."""
     import pyarrow as pa
 
+    from ..functions.arrow import batched
+    from ..functions.arrow import rows as rows_of
+
+    kind = pa.schema([("path", pa.string()), ("format", pa.string()), ("content", pa.binary())])
     rows = table(spark, sf_dir, "documents").select(F.expr(un.FLAT["ord"]).alias("ord"), F.expr(un.FLAT["text"]).alias("text"), F.expr(un.FLAT["direction_state"]).alias("state"), F.expr(un.FLAT["direction_value"]).alias("direction"))
 
     def run(batches):
-        for b in batches:
-            out = []
-            for o, x, s, d in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                content = build(x, d if s == "explicit" else None)
-                out.append({"path": str(o), "format": fmt, "content": content if isinstance(content, bytes) else content.encode()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("format", pa.string()), ("content", pa.binary())]))
+        def files():
+            for r in rows_of(batches):
+                content = build(r["text"], r["direction"] if r["state"] == "explicit" else None)
+                yield {"path": str(r["ord"]), "format": fmt, "content": content if isinstance(content, bytes) else content.encode()}
+
+        yield from batched(files(), kind)
 
     return rows.mapInArrow(run, "path string, format string, content binary")
 
