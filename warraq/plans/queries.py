@@ -593,7 +593,7 @@ def _built(spark, sf_dir, build, fmt: str):
     from ..functions.arrow import rows as rows_of
 
     kind = pa.schema([("path", pa.string()), ("format", pa.string()), ("content", pa.binary())])
-    rows = table(spark, sf_dir, "documents").select(F.expr(un.FLAT["ord"]).alias("ord"), F.expr(un.FLAT["text"]).alias("text"), F.expr(un.FLAT["direction_state"]).alias("state"), F.expr(un.FLAT["direction_value"]).alias("direction"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.expr(un.FLAT["ord"]).alias("ord"), F.expr(un.FLAT["text"]).alias("text"), F.expr(un.FLAT["direction_state"]).alias("state"), F.expr(un.FLAT["direction_value"]).alias("direction"))
 
     def run(batches):
         def files():
